@@ -1,4 +1,4 @@
-"""Queries of problems 1, 3 and 7."""
+"""Queries of problems 1, 2, 3, 6 and 7."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import project_key, strip
-from codestrata.llm import sampling, set_join, splits
+from codestrata.llm import near_duplicates, sampling, set_join, spans, splits
 from codestrata.sources.tables import table
 
 
@@ -26,6 +26,22 @@ def p1_links(spark: SparkSession, folder: str) -> DataFrame:
     return links.withColumnRenamed("id", "example_id")
 
 
+def codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Codes of methods and of located entities; null entities have no place."""
+    methods = table(spark, folder, "methods", "id", "method_code").select(F.lit("methods").alias("src"), F.col("id").alias("rec_id"), F.lit(0).cast("long").alias("item_pos"), F.col("method_code").alias("text"))
+    entities = F.filter("final_locations.entities", lambda e: e.isNotNull())
+    located = table(spark, folder, "agent_result", "run_id", "final_locations").select("run_id", F.posexplode(entities).alias("pos", "e"))
+    return methods.unionByName(located.select(F.lit("agent_result").alias("src"), F.col("run_id").alias("rec_id"), (F.col("pos") + 1).cast("long").alias("item_pos"), F.col("e.code").alias("text")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_spans(codes(spark, folder), 150).drop("chars")
+
+
+def p2_extent(spark: SparkSession, folder: str) -> DataFrame:
+    return spans.shared_extent(spans.shared_spans(codes(spark, folder), 150))
+
+
 def _cells(spark: SparkSession, folder: str) -> DataFrame:
     path = project_key("project_path")
     kind = F.replace(F.lower(strip("type")), F.lit("\\"), F.lit("/"))
@@ -42,6 +58,21 @@ def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     return drawn.withColumnRenamed("id", "example_id")
 
 
+def requirements(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.concat(F.coalesce("requirement.Functionality", F.lit("")), F.lit(" "), F.coalesce("requirement.Arguments", F.lit("")))
+    return table(spark, folder, "filtered", "example_id", "requirement").select(F.col("example_id").alias("id"), text.alias("text"))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_duplicates.near_duplicates(requirements(spark, folder), shingle=3, threshold=0.7, least_words=20)
+    return groups.withColumnRenamed("id", "example_id")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    groups = near_duplicates.near_duplicates(requirements(spark, folder), shingle=3, threshold=0.7, least_words=20)
+    return near_duplicates.pairs_in_groups(groups).select(F.col("a").alias("example_id_a"), F.col("b").alias("example_id_b"))
+
+
 def _links(spark: SparkSession, folder: str) -> DataFrame:
     """Records with a project; a blank package, like a null one, links nothing."""
     package = F.lower(F.substring_index("namespace", ".", 1))
@@ -58,4 +89,4 @@ def p7_split(spark: SparkSession, folder: str) -> DataFrame:
     return splits.grouped_splits(_links(spark, folder), ["project", "package"]).withColumnRenamed("id", "example_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p3_found": p3_found, "p3_sample": p3_sample, "p7_found": p7_found, "p7_split": p7_split}
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_extent": p2_extent, "p3_found": p3_found, "p3_sample": p3_sample, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_split": p7_split}
