@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from codestrata.llm import queries as basic
+from codestrata.llm import text_queries
 
 
 def queries() -> dict:
-    return {**basic.QUERIES}
+    return {**basic.QUERIES, **text_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
