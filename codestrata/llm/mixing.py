@@ -68,9 +68,9 @@ def mix(tokens: DataFrame, targets: DataFrame, budget: int | None = None, seed:
         below = below | (same & (F.col(f"b{i}") < F.col(f"e{i}")))
         same = same & (F.col(f"b{i}") == F.col(f"e{i}"))
     whole = placed.where(~same).select("id", "source", "tokens", (F.col("rounds") + below.cast("long")).alias("copies"))
-    # The last bucket holds a 2^-(BITS * LEVELS) part of a source: ranked one by one.
+    # The last bucket holds a 2^-(BITS * LEVELS) part of a source: taken one by one, the last one if that brings the sum nearer.
     run = F.sum("tokens").over(Window.partitionBy("source").orderBy("key", "id"))
-    last = placed.where(same).withColumn("run", run).select("id", "source", "tokens", (F.col("rounds") + (F.col("run") <= F.col("rest")).cast("long")).alias("copies"))
+    last = placed.where(same).withColumn("run", run).select("id", "source", "tokens", (F.col("rounds") + (2 * F.col("run") - F.col("tokens") < 2 * F.col("rest")).cast("long")).alias("copies"))
     chosen = whole.unionByName(last).where("copies > 0").select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
     got = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"))
     report = plan.join(got, "source", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)).cast("long"))
