@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from codestrata.plans import records
+from codestrata.plans import catalog, evaluation, records, relational  # noqa: F401
 
 FLAGSHIP = "p5_found"
 
 
 def queries() -> dict:
-    return {**records.QUERIES}
+    return {**catalog.QUERIES, **records.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
