@@ -175,7 +175,7 @@ def stage_compare_pivot(s, d):
     SELECT coalesce(project, 'overall') AS project, CAST(k AS BIGINT) AS k, CAST(count(*) AS BIGINT) AS tasks, round(avg(p), 6) AS pass_at_k FROM v WHERE project IS NOT NULL GROUP BY GROUPING SETS ((project, k), (k))"""
 )
 def pass_at_k(s, d):
-    g = _jobs(s, d, "task_id", "project", "returncode", "dr").groupBy("task_id", "project").agg(F.count("*").alias("n"), F.count_if("returncode = 0 and dr > 0.5").alias("c"))
+    g = _jobs(s, d, "task_id", "project", "returncode", "dr").groupBy("task_id", "project").agg(F.count("*").alias("n"), F.count_if(F.expr("returncode = 0 and dr > 0.5")).alias("c"))
     ks = F.array(*(F.struct(F.lit(k).cast("long").alias("k"), E.pass_at_k(F.col("n"), F.col("c"), k).alias("p")) for k in (1, 2, 3)))
     v = g.where("project is not null").select("project", F.explode(ks).alias("x")).select("project", "x.k", "x.p").where("p is not null")
     out = v.groupingSets([[F.col("project"), F.col("k")], [F.col("k")]], "project", "k").agg(F.count("*").alias("tasks"), F.round(F.avg("p"), 6).alias("pass_at_k"))
@@ -189,7 +189,7 @@ def pass_at_k(s, d):
 def recall_at_k(s, d):
     j = _jobs(s, d, "task_id", "dr")
     ranked = E.first_k(j, ["task_id"], ["run_id"], 5)
-    best = ranked.select("task_id", "dr", F.explode(F.filter(F.array(F.lit(1), F.lit(3), F.lit(5)), lambda k: k >= F.col("place"))).cast("long").alias("k")).groupBy("task_id", "k").agg(F.max("dr").alias("best"))
+    best = ranked.select("task_id", "dr", F.explode(F.filter(F.array(*(F.lit(k).cast("long") for k in (1, 3, 5))), lambda k: k >= F.col("place"))).alias("k")).groupBy("task_id", "k").agg(F.max("dr").alias("best"))
     return best.groupBy("k").agg(F.round(F.avg("best"), 6).alias("recall"), F.count("best").alias("tasks"))
 
 
@@ -228,9 +228,9 @@ def arm_stage_pivot(s, d):
 )
 def coverage_report(s, d):
     r = table(s, d, "agent_result", "run_id", "task_id", "status", "final_stage").select("run_id", "task_id", "status", F.col("final_stage.dr").alias("dr")).distinct()
-    o = r.groupBy(F.col("task_id").alias("example_id")).agg(F.count("dr").alias("scored"), F.count_if("status <> 'completed'").alias("open"))
+    o = r.groupBy(F.col("task_id").alias("example_id")).agg(F.count("dr").alias("scored"), F.count_if(F.expr("status <> 'completed'")).alias("open"))
     t = B.tasks(s, d).join(o, "example_id", "left")
-    return t.agg(F.count("*").alias("expected"), F.count("scored").alias("run"), F.count_if("scored > 0").alias("scored"), F.count_if(F.col("scored").isNull()).alias("pending"), F.coalesce(F.sum("open"), F.lit(0)).cast("long").alias("open_runs"))
+    return t.agg(F.count("*").alias("expected"), F.count("scored").alias("run"), F.count_if(F.expr("scored > 0")).alias("scored"), F.count_if(F.col("scored").isNull()).alias("pending"), F.coalesce(F.sum("open"), F.lit(0)).cast("long").alias("open_runs"))
 
 
 @query(
@@ -247,7 +247,7 @@ def invariant_violations(s, d):
 
 @query(
     f"""WITH {LOC}, {B.NAMES}, code AS (SELECT name, arg_min(method_code, meth.id) AS method_code FROM names JOIN meth USING (id) WHERE method_code IS NOT NULL GROUP BY name)
-    SELECT run_id, sig, round(max(CASE WHEN greatest(length(code), length(method_code)) = 0 THEN 1.0 ELSE 1 - levenshtein(code, method_code) / greatest(length(code), length(method_code))::DOUBLE END), 6) AS similarity, bool_or(code = method_code) AS exact
+    SELECT run_id, sig, round(max(CASE WHEN greatest(length(code), length(method_code)) = 0 THEN 1.0 ELSE 1 - levenshtein(regexp_replace(code, '[^\\x00-\\x7F]', '?', 'g'), regexp_replace(method_code, '[^\\x00-\\x7F]', '?', 'g')) / greatest(length(code), length(method_code))::DOUBLE END), 6) AS similarity, bool_or(code = method_code) AS exact
     FROM loc JOIN code ON sig = name GROUP BY run_id, sig"""
 )
 def edit_similarity(s, d):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codestrata.plans import catalog, evaluation, records, relational  # noqa: F401
+from codestrata.plans import catalog, evaluation, records, relational, retrieval  # noqa: F401
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "bm25_documents_topk"
 
 
 def queries() -> dict:
