@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.plans import catalog, evaluation, graph, records, relational, retrieval  # noqa: F401
+from codestrata.plans import catalog, clustering, evaluation, graph, records, relational, retrieval  # noqa: F401
 
 FLAGSHIP = "bm25_documents_topk"
 
