@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from codestrata.llm import queries as basic
-from codestrata.llm import text_queries
+from codestrata.llm import oracle, text_queries
 
 
 def queries() -> dict:
@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
