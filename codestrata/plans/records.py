@@ -45,3 +45,8 @@ def p5_attempts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_malformed": p4_malformed, "p5_found": p5_found, "p5_attempts": p5_attempts}
+
+SQL = {
+    "p5_attempts": """WITH r AS (SELECT DISTINCT raw_id, payload FROM raw_result WHERE payload IS NOT NULL AND json_valid(payload)), a AS (SELECT raw_id, payload, unnest(range(0, CAST(json_array_length(payload, '$.attempts') AS BIGINT))) AS i FROM r WHERE json_type(payload, '$.attempts') = 'ARRAY')
+    SELECT raw_id AS rec_id, CAST(i + 1 AS BIGINT) AS attempt_pos, json_extract_string(payload, '$.attempts[' || i || '].attempt_id') AS attempt_id FROM a WHERE json_type(payload, '$.attempts[' || i || ']') = 'OBJECT'""",
+}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.plans import catalog, clustering, evaluation, graph, records, relational, retrieval  # noqa: F401
+from codestrata.plans import catalog, clustering, evaluation, functions, graph, records, relational, retrieval, streams  # noqa: F401
 
 FLAGSHIP = "bm25_documents_topk"
 
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(catalog.SQL)
+    return {**catalog.SQL, **records.SQL}
