@@ -36,7 +36,7 @@ STAY = 8.0  # pseudo-count of staying in a state
 UNIT = 60
 
 _MARK = re.compile(r"\s*(?:(?P<box>\[[ xX]?\]|☐|☑)\s|(?P<number>\(?\d{1,4}[.)]|[a-zA-Z][.)])\s|(?P<bullet>[-*+•–◦▪·])\s|(?P<tag></?(?:table|tr|td|th|tbody|thead)\b)|(?P<item></?(?:li|ul|ol)\b)|(?P<pipe>\|(?=.*\|\s*$))|(?P<rule>[+|]?[-=+:| ]{4,}[+|]?$)|(?P<brace>[{}\[\]<])|(?P<head>#{1,6} )|(?P<quote>>\s)|(?P<stamp>\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|[0-9a-f]{8}\s)|(?P<at>at \S+ ?\(|File \".*\", line \d|\"[\w.-]+\"\s*:))")
-_WORDS = re.compile(r"[^\W\d]+(?:[_'’-][^\W\d]+)*|\d+")
+_WORDS = re.compile(r"\w+")
 _PAIR = re.compile(r"\s*[\w.\[\]-]+\s*(?:->|=>|[=~<>!]=|=|:)\s*\S+(?:\s\S+)?\s*$")
 _PATH = re.compile(r"\s*[\w.-]+(?:[/\\][\w.-]+)+\s*$")
 _SENTENCE = re.compile(r"[^\W\d]{2,}[.!?…][\"'”’)]?(?=\s|$)")
@@ -44,6 +44,11 @@ _SPACED = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 _CELL = re.compile(r"<t[dh]\b")
 
 
+_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
+_DIGITS = b"0123456789"
+_SPACES = b" \t\n\r\v\f\x1c\x1d\x1e\x1f"
+
+
 def _grade(x: float, *bounds: float) -> int:
     return sum(x >= b for b in bounds)
 
@@ -60,7 +65,13 @@ def items_in(line: str) -> tuple[int, str]:
 
 def cells_in(line: str) -> tuple[int, str]:
     """Most cells of a row in any notation, and the notation."""
-    counts = {"|": line.strip().strip("|").count("|") + 1, "\t": line.count("\t") + 1, "  ": len(_SPACED.findall(line.strip())) + 1, "<": len(_CELL.findall(line))}
+    counts = {"|": 1, "\t": line.count("\t") + 1, "  ": 1, "<": 0}
+    if "|" in line:
+        counts["|"] = line.strip().strip("|").count("|") + 1
+    if "  " in line or "\t" in line:
+        counts["  "] = len(_SPACED.findall(line.strip())) + 1
+    if "<t" in line:
+        counts["<"] = len(_CELL.findall(line))
     for sep in (";", ","):
         # Rows of such tables have no blank behind the separator.
         counts[sep] = 1 if f"{sep} " in line else line.count(sep) + 1
@@ -76,10 +87,14 @@ def describe(lines: list[str], common: frozenset[str]) -> list[tuple]:
         w = _WORDS.findall(line.lower())
         n, size = len(w), len(bare)
         known = sum(x in common for x in w) / n if n else 0.0
-        letters = sum(map(str.isalpha, bare))
-        digits = sum(map(str.isdigit, bare))
-        blanks = sum(map(str.isspace, bare))
-        symbols = size - letters - digits - blanks
+        if bare.isascii():
+            raw = bare.encode()
+            digits = size - len(raw.translate(None, _DIGITS))
+            left = raw.translate(None, _LETTERS + _DIGITS + _SPACES)
+        else:
+            digits = sum(map(str.isdigit, bare))
+            left = [c for c in bare if not c.isalnum() and not c.isspace()]
+        symbols, kinds = len(left), len(set(left))
         longest = max(map(len, bare.split()))
         m = _MARK.match(line)
         mark = m.lastgroup if m else "pair" if _PAIR.match(line) else "path" if _PATH.match(line) else ""
@@ -100,7 +115,7 @@ def describe(lines: list[str], common: frozenset[str]) -> list[tuple]:
                 (_grade(cells[0], 2, 3, 5), cells[1] if cells[0] > 1 else "", like),
                 _grade(distinct, 0.25, 0.5, 0.8) if n >= 4 else 4,
                 1 if w and w == last_words else 0,
-                _grade(len({c for c in bare if not c.isalnum() and not c.isspace()}), 5, 8),
+                _grade(kinds, 5, 8),
             )
         )
         before, cells_before, last_words = bare, cells, w
@@ -150,6 +165,7 @@ class Model:
                 totals[s, k] += n
         self.emit = {(s, k, v): math.log((n + PRIOR) / (totals[s, k] + PRIOR * (len(seen[k]) + 1))) for (kind, s, k, v), n in counts.items() if kind == "emit"}
         self.unseen = {(s, k): math.log(PRIOR / (totals[s, k] + PRIOR * (len(v) + 1))) for k, v in seen.items() for s in range(len(STATES))}
+        self.known: dict[tuple, list[float]] = {}
         start = [counts.get(("start", s, 0, ""), 0) + 1 for s in range(len(STATES))]
         self.start = [math.log(x / sum(start)) for x in start]
         self.step = []
@@ -157,15 +173,27 @@ class Model:
             row = [counts.get(("step", s, t, ""), 0) + (STAY if s == t else PRIOR) for t in range(len(STATES))]
             self.step.append([math.log(x / sum(row)) for x in row])
 
+    def _emission(self, f: tuple) -> list[float]:
+        """Log probabilities of the statistics of a line in each state; like lines are many, so they are kept."""
+        if (e := self.known.get(f)) is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            values = [repr(v) for v in f]
+            e = self.known[f] = [sum(self.emit.get((s, k, v), self.unseen.get((s, k), 0.0)) for k, v in enumerate(values)) for s in range(len(STATES))]
+        return e
+
     def best(self, features: list[tuple], fixed: list[int | None] | None = None) -> list[int]:
         """Most likely states of the lines; ``fixed`` states are kept."""
         if not features:
             return []
+        if fixed and None not in fixed:
+            return fixed
         back, score = [], None
         for i, f in enumerate(features):
-            e = [sum(self.emit.get((s, k, repr(v)), self.unseen.get((s, k), 0.0)) for k, v in enumerate(f)) for s in range(len(STATES))]
             if fixed and fixed[i] is not None:
-                e = [x if s == fixed[i] else -1e9 for s, x in enumerate(e)]
+                e = [0.0 if s == fixed[i] else -1e9 for s in range(len(STATES))]
+            else:
+                e = self._emission(f)
             if score is None:
                 score = [a + b for a, b in zip(self.start, e)]
                 continue
