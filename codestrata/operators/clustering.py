@@ -180,7 +180,7 @@ def merge_tiny(pairs: DataFrame, labels: DataFrame, tiny: int = 3, passes: int =
                     if a != b and c in (a, b):
                         o = b if a == c else a
                         pull[o] = pull.get(o, 0.0) + w
-                if pull and size.get(c):
+                if pull and 0 < size.get(c, 0) < tiny:
                     to = max(sorted(pull), key=lambda o: pull[o] / (size[c] * size[o]) / (1 + math.log(1 + size[o])))
                     for i in label:
                         if label[i] == c:

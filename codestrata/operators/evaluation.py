@@ -106,7 +106,7 @@ def right_closed_bins(values: DataFrame, value: str, edges: list[float]) -> Data
     bins = [(float(a), float(b)) for a, b in zip(edges, edges[1:])] + [(float(edges[-1]), None)]
     table = spark.createDataFrame(bins, "lo double, hi double")
     v = F.col(value).cast("double")
-    place = F.when(v < edges[0], None)
+    place = F.when(v.isNull() | (v < edges[0]), None)
     for a, b in zip(edges, edges[1:]):
         place = place.when(v <= b, F.lit(float(a)))
     counts = values.select(place.otherwise(F.lit(float(edges[-1]))).alias("lo")).where(F.col("lo").isNotNull()).groupBy("lo").agg(F.count("*").alias("n"))

@@ -84,22 +84,23 @@ SYMBOL_KINDS = ("function", "method", "class", "def", "variable", "constant", "m
 
 _NAME = r"[^\W\d]\w*(?:\.\w+)*"
 _KINDS = "|".join(SYMBOL_KINDS)
+_PATH = r"[^\s\"'`,;|()\[\]{}<>:*]+"
 _LOCATION = re.compile(
-    rf"(?P<file>[^\s\"'`,;|()\[\]{{}}<>:*]+\.(?:{'|'.join(FILE_ENDINGS)}))(?![\w/\\-])[\"'`]*"
+    rf"(?P<file>(?:{_PATH}\.py|{_PATH}[/\\]{_PATH}\.(?:{'|'.join(FILE_ENDINGS)})))(?![\w/\\-])[\"'`]*"
     rf"(?::\d+(?:-\d+)?(?!\w))*"
     rf"(?:(?:::?[^\S\n]*|\t|[^\S\n]+\()(?:(?:{_KINDS})\s*:\s*)?[\"'`]*(?P<name>{_NAME}))?",
     re.I,
 )
-_KIND_LINE = re.compile(rf"\W*(?:{_KINDS})\s*:\s*[\"'`]*(?P<name>{_NAME})", re.I)
+_KIND_LINE = re.compile(rf"\W*(?:{_KINDS})\s*:\s*[\"'`]*(?P<name>{_NAME})(?:\(.*\))?[\"'`),;.\s]*\Z", re.I)
 _PLACE_LINE = re.compile(r"\W*lines?\b\s*(?::|\d)", re.I)
 
 
 def parse_locations(text: str | None) -> list[tuple[str, str]]:
     """Code locations named in a free text, in order, as ``file:symbol`` or the file alone.
 
-        text     <- (located / named / place / other)*        one alternative per line
+        text     <- (named / located / place / other)*        one alternative per line
+        named    <- KIND ':' NAME END                          belongs to the last file
         located  <- (FILE (LINES? (':' / '::' / TAB / '(' KIND ':') NAME)?)+
-        named    <- KIND ':' NAME                              belongs to the last file
         place    <- 'line' ...                                 left out
 
     A file that has no symbol of its own, nor a ``named`` line before the next file, stands alone. A ``named``
@@ -107,15 +108,16 @@ def parse_locations(text: str | None) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     current, open_ = None, False
     for line in (text or "").splitlines():
-        found = list(_LOCATION.finditer(line))
+        m = _KIND_LINE.match(line)
+        found = [] if m else list(_LOCATION.finditer(line))
         if found:
-            for m in found:
+            for x in found:
                 if open_:
                     out.append((current, ""))
-                current, open_ = m["file"], not m["name"]
-                if m["name"]:
-                    out.append((f"{current}:{m['name']}", ""))
-        elif m := _KIND_LINE.match(line):
+                current, open_ = x["file"], not x["name"]
+                if x["name"]:
+                    out.append((f"{current}:{x['name']}", ""))
+        elif m:
             out.append((f"{current}:{m['name']}", "") if current else ("", "no_file"))
             open_ = False
         elif line.strip() and not _PLACE_LINE.match(line):
