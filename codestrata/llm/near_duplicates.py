@@ -84,11 +84,11 @@ def short(h: np.ndarray) -> np.ndarray:
     return h >> U(16) << U(16)
 
 
-def class_bounds(records: int) -> list[float]:
+def class_bounds(records: int, rare: int = RARE) -> list[float]:
     """Highest frequencies of the classes 1, 2 and 3; combinations of k tokens of class k are then met by chance about ``EXPECTED`` times."""
     n = max(records, 1)
-    second = max(RARE, (EXPECTED * n) ** (1 / 2))
-    return [RARE, second, max(second, (EXPECTED * n * n) ** (1 / 3))]
+    second = max(rare, (EXPECTED * n) ** (1 / 2))
+    return [rare, second, max(second, (EXPECTED * n * n) ** (1 / 3))]
 
 
 def signatures(rec: np.ndarray, h: np.ndarray, df: np.ndarray, threshold: float, bounds: list[float]) -> tuple[np.ndarray, np.ndarray]:
@@ -147,14 +147,14 @@ def bitmaps(rec: np.ndarray, h: np.ndarray, records: int) -> np.ndarray:
     return np.packbits(parity & 1, axis=1).view(U)
 
 
-def near_pairs_in(sig: np.ndarray, who: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs_in(sig: np.ndarray, who: np.ndarray, n: np.ndarray, bits: np.ndarray, threshold: float, all_pairs: int = ALL_PAIRS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of places that meet under a signature and pass the filters, for sorted signatures; third, the mask of
     the places in lists that were too long to try all pairs."""
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     begin = np.flatnonzero(first)
     sizes = np.diff(np.append(begin, len(sig)))
-    long_ = np.repeat(sizes > ALL_PAIRS, sizes)
+    long_ = np.repeat(sizes > all_pairs, sizes)
     end = np.repeat(begin + sizes, sizes)
     xs, ys = [], []
 
@@ -183,11 +183,11 @@ def near_pairs_in(sig: np.ndarray, who: np.ndarray, n: np.ndarray, bits: np.ndar
 PAIR = "kind int, sig long, a long, b long, n int, bits array<long>"
 
 
-def candidates(batches: DataFrame, k: int, threshold: float) -> DataFrame:
+def candidates(batches: DataFrame, k: int, threshold: float, rare: int = RARE, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """Rows of kind 0, candidate pairs (a, b), and of kind 1, members a of a list ``sig`` that was too long."""
     totals = batches.agg(F.sum("n"), F.sum("size")).first()
     records, chars = totals[0] or 0, totals[1] or 0
-    bounds = class_bounds(records)
+    bounds = class_bounds(records, rare)
     counting = ranges_for(chars / 8)
 
     def counted(payload: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +234,7 @@ def candidates(batches: DataFrame, k: int, threshold: float) -> DataFrame:
         sig, who, n, bit = np.concatenate(sigs), np.concatenate(whos), np.concatenate(ns), np.concatenate(bits)
         order = np.lexsort((who, sig))
         sig, who, n, bit = sig[order], who[order], n[order], bit[order]
-        x, y, long_ = near_pairs_in(sig, who, n, bit, threshold)
+        x, y, long_ = near_pairs_in(sig, who, n, bit, threshold, all_pairs)
         pairs = np.unique(np.column_stack([np.minimum(who[x], who[y]), np.maximum(who[x], who[y])]), axis=0)
         rest = np.flatnonzero(long_)
         m = len(pairs)
@@ -295,7 +295,7 @@ def _apart(listed: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     return x.join(y, "sig").where("a < a_2 and component <> component_2").where(fits).select("a", F.col("a_2").alias("b")).distinct()
 
 
-def near_duplicates(records: DataFrame, shingle: int = 5, threshold: float = 0.8, least_words: int | None = None) -> DataFrame:
+def near_duplicates(records: DataFrame, shingle: int = 5, threshold: float = 0.8, least_words: int | None = None, rare: int = RARE, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """(id, class_id, group_id) of records (id, text) with enough words: the smallest id with the same text and
     the smallest class of the group. Records alone in their group have a row as well."""
     least_words = max(shingle, least_words or shingle)
@@ -305,7 +305,7 @@ def near_duplicates(records: DataFrame, shingle: int = 5, threshold: float = 0.8
     classes = cut(keyed.groupBy("key", "text").agg(F.min("id").alias("rep")), "classes")
     members = keyed.select("id", "key").distinct().join(classes.select("key", "rep"), "key").select("id", F.col("rep").alias("class_id"))
     batches = pack_rows(classes.select("rep", "text"), lambda row: len(row[1]), BATCH_CHARS, "batches")
-    tried = candidates(batches, shingle, threshold)
+    tried = candidates(batches, shingle, threshold, rare, all_pairs)
     links = verified(tried.where("kind = 0").select("a", "b").distinct(), batches, shingle, threshold)
     labels = cut(connected_components(links), "groups")
     listed = tried.where("kind = 1")
