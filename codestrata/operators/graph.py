@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codestrata.session import cut
+from codestrata.session import cut, shuffle_partitions
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -69,32 +69,40 @@ def pagerank(edges: DataFrame, restart: DataFrame, alpha: float = 0.85, rounds:
 
 
 def pagerank_by_group(edges: DataFrame, restart: DataFrame, group: str, alpha: float = 0.85, most_rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
-    """(group, node, rank): the same, to convergence, for many small graphs at once, one task a graph. ``edges``
+    """(group, node, rank): the same, to convergence, for very many small graphs, the candidates of single tasks. ``edges``
     (group, src, dst), ``restart`` (group, node, w) with every node of the graph; a group whose weights are all
-    zero restarts evenly. Groups must fit in memory: they are the candidate graphs of single tasks."""
+    zero restarts evenly. Groups are hashed into batches and a batch is iterated as one block-diagonal graph,
+    each group stopping at its own convergence; batches grow in number with the partitions of the session."""
     both = restart.select(group, F.col("node").alias("a"), F.lit(None).cast("string").alias("b"), "w").unionByName(edges.select(group, F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0.0).alias("w")))
     kind = dict(restart.dtypes)[group]
+    batch = F.pmod(F.xxhash64(group), F.lit(8 * shuffle_partitions(restart.sparkSession)))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        nodes = part[part.b.isna()].groupby("a", sort=True).w.sum()
-        at = {x: i for i, x in enumerate(nodes.index)}
-        e = part[part.b.notna()].drop_duplicates(["a", "b"])
-        e = e[e.a.isin(at) & e.b.isin(at)]
-        src, dst = e.a.map(at).to_numpy(int), e.b.map(at).to_numpy(int)
-        n = len(at)
-        p = nodes.to_numpy(float)
-        p = p / p.sum() if p.sum() > 0 else np.full(n, 1 / n)
+        nodes = part[part.b.isna()].groupby([group, "a"], sort=True, as_index=False).w.sum()
+        place = pd.Series(np.arange(len(nodes)), index=pd.MultiIndex.from_frame(nodes[[group, "a"]]))
+        e = part[part.b.notna()].drop_duplicates([group, "a", "b"])
+        src = place.reindex(pd.MultiIndex.from_frame(e[[group, "a"]])).to_numpy()
+        dst = place.reindex(pd.MultiIndex.from_frame(e[[group, "b"]])).to_numpy()
+        known = ~(np.isnan(src) | np.isnan(dst))
+        src, dst = src[known].astype(np.int64), dst[known].astype(np.int64)
+        of = nodes[group].factorize()[0]
+        n, size = len(nodes), np.bincount(of).astype(float)
+        w = nodes.w.to_numpy(float)
+        total = np.bincount(of, w)
+        p = np.where(total[of] > 0, w / np.where(total > 0, total, 1.0)[of], 1 / size[of])
         deg = np.bincount(src, minlength=n)
-        r = np.full(n, 1 / n)
+        r, open_ = 1 / size[of], np.ones(len(size), bool)
         for _ in range(most_rounds):
-            new = alpha * (np.bincount(dst, r[src] / deg[src], minlength=n) + r[deg == 0].sum() * p) + (1 - alpha) * p
-            if np.abs(new - r).sum() < n * tolerance:
-                r = new
+            lost = np.bincount(of, np.where(deg == 0, r, 0.0))
+            new = alpha * (np.bincount(dst, r[src] / deg[src], minlength=n) + lost[of] * p) + (1 - alpha) * p
+            moved = np.bincount(of, np.abs(new - r))
+            r = np.where(open_[of], new, r)
+            open_ &= moved >= size * tolerance
+            if not open_.any():
                 break
-            r = new
-        return pd.DataFrame({group: part[group].iloc[0], "node": nodes.index, "rank": r})
+        return pd.DataFrame({group: nodes[group], "node": nodes.a, "rank": r})
 
-    return both.groupBy(group).applyInPandas(run, f"{group} {kind}, node string, rank double")
+    return both.withColumn("_batch", batch).groupBy("_batch").applyInPandas(run, f"{group} {kind}, node string, rank double")
 
 
 def shortest_paths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:

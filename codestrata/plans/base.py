@@ -44,7 +44,8 @@ DEPENDENCIES = (
 
 
 def methods(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return table(spark, folder, "methods", "id", *columns).distinct()
+    """Methods, one row each; partitioned by id, which later steps by id then find."""
+    return table(spark, folder, "methods", "id", *columns).repartition("id").distinct()
 
 
 METHODS = "meth AS (SELECT DISTINCT ON (id) * FROM methods)"

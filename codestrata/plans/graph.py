@@ -8,6 +8,7 @@ from codestrata.functions import text as T
 from codestrata.operators import graph as G
 from codestrata.plans import base as B
 from codestrata.plans.catalog import query
+from codestrata.session import cut
 from codestrata.sources.tables import table
 
 SEEDS = (
@@ -75,8 +76,8 @@ def neighbor_bonus(s, d):
     return G.neighbor_bonus(_links(s, d), _seeds(s, d), "task_id", ["same_owner", "same_root", "is_function"])
 
 
-def _restart(s, d):
-    seeds, links = _seeds(s, d), _links(s, d)
+def _restart(s, d, links):
+    seeds = cut(_seeds(s, d), "seeds")
     members = G.expand_one_hop(links, seeds, "task_id", ["Call", "Use", "Contain"], ["Call"])
     bonus = G.neighbor_bonus(links, seeds, "task_id", ["same_owner", "same_root", "is_function"])
     return members.join(bonus, ["task_id", "node"], "left").select("task_id", "node", (F.when(F.col("src_type") == "original", 1.0).otherwise(0.0) + F.coalesce("bonus", F.lit(0.0))).alias("w"))
@@ -87,8 +88,9 @@ def ppr_converged_topk(s, d):
     """The 15 best nodes of every task's graph by converged personalized PageRank, without the task itself."""
     from pyspark.sql.window import Window
 
-    restart = _restart(s, d)
-    ranks = G.pagerank_by_group(G.induced(_links(s, d), restart, "task_id"), restart, "task_id").withColumn("rank", F.round("rank", 6))
+    links = cut(_links(s, d), "links")
+    restart = cut(_restart(s, d, links), "restart")
+    ranks = G.pagerank_by_group(G.induced(links, restart, "task_id"), restart, "task_id").withColumn("rank", F.round("rank", 6))
     target = B.tasks(s, d, "namespace").select(F.col("example_id").alias("task_id"), F.col("namespace").alias("target"))
     from codestrata.operators.relational import outside
 
