@@ -1,10 +1,11 @@
 """Near-duplicate records with small edits (problem 6), by token-combination prefixes.
 
 A record's tokens are its word shingles. They are ordered by rarity (document frequency, then hash) and put into
-classes by frequency: a token of class 1 is posted alone, tokens of class k only in combinations of k. The
-prefix is extended until it holds more tokens than a partner above the threshold can lack, counted by class: if no combination were shared, at
-most k - 1 tokens of each class k could be. So two similar records share a signature, while frequent tokens
-never make a posting list of their own. Candidates pass a size filter and a bitmap bound of the overlap and
+classes: rare tokens are posted alone, frequent ones, in ``CLASSES`` classes by hash, only in pairs of one class. The
+prefix is extended until it holds more tokens than a partner above the threshold can lack, counted by class: if no
+pair were shared, at most one token of each class of frequent ones could be. So two similar records share a
+signature, while frequent tokens never make a posting list of their own; and as pairs form within a class only, a
+record whose tokens are all frequent, one of a hot group of near copies, still posts few. Candidates pass a size filter and a bitmap bound of the overlap and
 are verified exactly on their texts. Groups are the components of the verified links.
 
 Equal texts are one class from the start. A posting list with more than ``ALL_PAIRS`` classes is linked by a chain and a star first;
@@ -32,9 +33,8 @@ from codestrata.operators.components import connected_components
 from codestrata.session import cut
 
 BATCH_CHARS = 4_000_000
-RARE = 48  # most records with a token of class 1
-EXPECTED = 16  # records by chance with the same combination; sets the bounds of the classes above
-PLAIN = 16  # smaller sets post single tokens, as extending their prefix may not be possible
+RARE = 48  # most records with a token that is posted alone
+CLASSES = 16  # of frequent tokens
 ALL_PAIRS = 96
 POSTINGS_A_RANGE = 400_000
 BITS = 128
@@ -84,15 +84,9 @@ def short(h: np.ndarray) -> np.ndarray:
     return h >> U(16) << U(16)
 
 
-def class_bounds(records: int, rare: int = RARE) -> list[float]:
-    """Highest frequencies of the classes 1, 2 and 3; combinations of k tokens of class k are then met by chance about ``EXPECTED`` times."""
-    n = max(records, 1)
-    second = max(rare, (EXPECTED * n) ** (1 / 2))
-    return [rare, second, max(second, (EXPECTED * n * n) ** (1 / 3))]
-
-
-def signatures(rec: np.ndarray, h: np.ndarray, df: np.ndarray, threshold: float, bounds: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, record) of the extended prefixes."""
+def signatures(rec: np.ndarray, h: np.ndarray, df: np.ndarray, threshold: float, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, record) of the extended prefixes. Sets too small to be sure of one, of fewer than (CLASSES + 1) /
+    threshold tokens, post the single tokens of the plain prefix; so do all sets that could be similar to such."""
     order = np.lexsort((h, df, rec))
     rec, h, df = rec[order], h[order], df[order]
     n = np.bincount(rec) if len(rec) else np.zeros(0, np.int64)
@@ -100,44 +94,28 @@ def signatures(rec: np.ndarray, h: np.ndarray, df: np.ndarray, threshold: float,
     need = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
     begin = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
     place = np.arange(len(rec)) - begin[rec]
-    out_s, out_r = [], []
-    plain = (size <= PLAIN / threshold) & (place < need) & (df > 1)
-    out_s.append(mix(h[plain] ^ U(0xA5A5A5A5)))
-    out_r.append(rec[plain])
-    level = 1 + np.searchsorted(np.array(bounds), df, side="left")
-    kills = np.zeros(len(rec), np.int64)
-    for k in (1, 2, 3, 4):
-        c = np.cumsum(level == k)
-        before = np.concatenate([[0], c])[begin][rec] if len(rec) else c
-        kills += np.maximum(0, c - before - k + 1)
-    earlier = np.concatenate([[0], kills[:-1]]) if len(rec) else kills
-    earlier = np.where(place == 0, 0, earlier)
-    inside = (earlier < need) & (size >= PLAIN)
-    single = inside & (level == 1) & (df > 1)
-    out_s.append(h[single])
-    out_r.append(rec[single])
-    for k in (2, 3, 4):
-        at = np.flatnonzero(inside & (level == k))
-        s, last = h[at], np.arange(len(at))
-        for _ in range(k - 1):
-            s, last = _longer(s, last, h[at], rec[at])
-        out_s.append(mix(s + U(k)))
-        out_r.append(rec[at][last])
-    return np.concatenate(out_s), np.concatenate(out_r)
-
-
-def _longer(s: np.ndarray, last: np.ndarray, h: np.ndarray, rec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Combinations with one more token, taken from behind their last one in the same record."""
-    out_s, out_l, d = [np.zeros(0, U)], [np.zeros(0, np.int64)], 1
-    while len(s):
-        ok = last + d < len(h)
-        s, last = s[ok], last[ok]
-        ok = rec[np.minimum(last + d, len(h) - 1)] == rec[last] if len(last) else np.zeros(0, bool)
-        s, last = s[ok], last[ok]
-        out_s.append(mix(s * U(0x9E3779B97F4A7C15) + h[last + d]))
-        out_l.append(last + d)
+    enough = int(np.ceil((CLASSES + 1) / threshold))
+    plain = (size <= enough / threshold) & (place < need) & (df > 1)
+    # Tokens that a partner without a common signature must lack, counted along the prefix.
+    level = np.where(df <= rare, -1, (h % U(CLASSES)).astype(np.int64))
+    lacked = np.zeros(len(rec), np.int64)
+    for c in range(-1, CLASSES):
+        upto = np.cumsum(level == c)
+        own = upto - np.concatenate([[0], upto])[begin][rec] if len(rec) else upto
+        lacked += own if c < 0 else np.maximum(0, own - 1)
+    earlier = np.where(place == 0, 0, np.concatenate([[0], lacked[:-1]])) if len(rec) else lacked
+    inside = (earlier < need) & (size >= enough)
+    single = inside & (level < 0) & (df > 1)
+    out_s, out_r = [mix(h[plain] ^ U(0xA5A5A5A5)), h[single]], [rec[plain], rec[single]]
+    at = np.flatnonzero(inside & (level >= 0))
+    at = at[np.argsort(rec[at] * CLASSES + level[at], kind="stable")]
+    key, x, d = rec[at] * CLASSES + level[at], np.arange(len(at)), 1
+    while len(x := x[x + d < len(at)]):
+        x = x[key[x + d] == key[x]]
+        out_s.append(mix(mix(h[at[x]]) * U(0x9E3779B97F4A7C15) + h[at[x + d]]))
+        out_r.append(rec[at[x]])
         d += 1
-    return np.concatenate(out_s), np.concatenate(out_l)
+    return np.concatenate(out_s), np.concatenate(out_r)
 
 
 def bitmaps(rec: np.ndarray, h: np.ndarray, records: int) -> np.ndarray:
@@ -187,7 +165,6 @@ def candidates(batches: DataFrame, k: int, threshold: float, rare: int = RARE, a
     """Rows of kind 0, candidate pairs (a, b), and of kind 1, members a of a list ``sig`` that was too long."""
     totals = batches.agg(F.sum("n"), F.sum("size")).first()
     records, chars = totals[0] or 0, totals[1] or 0
-    bounds = class_bounds(records, rare)
     counting = ranges_for(chars / 8)
 
     def counted(payload: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +182,7 @@ def candidates(batches: DataFrame, k: int, threshold: float, rare: int = RARE, a
         u, at = np.unique(short(h), return_inverse=True)
         df = read_answers(answers, u, counting, True)[at].astype(np.int64)
         n, bits = np.bincount(rec, minlength=len(ids)), bitmaps(rec, h, len(ids))
-        s, r = signatures(rec, h, df, threshold, bounds)
+        s, r = signatures(rec, h, df, threshold, rare)
         order = np.lexsort((r, s))
         s, r = s[order], r[order]
         ends = [*np.searchsorted(s, starts[1:]).tolist(), len(s)]
