@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import glob
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,3 +67,16 @@ def small_enough(df: DataFrame, limit_bytes: int = 32 << 20, row_bytes: int = 64
     """True if ``df`` is proven to have at most ``limit_bytes``: it is counted up to that bound only."""
     most = limit_bytes // row_bytes
     return df.limit(most + 1).count() <= most
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once, so that they need not find it by their path."""
+    context = spark.sparkContext
+    if getattr(context, "_codestrata_shipped", False):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="codestrata-code-"), "codestrata.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in glob.glob(f"{PACKAGE_ROOT}/codestrata/**/*.py", recursive=True):
+            z.write(f, os.path.relpath(f, PACKAGE_ROOT))
+    context.addPyFile(path)
+    context._codestrata_shipped = True
