@@ -3,6 +3,8 @@ groups (tasks) at once."""
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -105,15 +107,22 @@ def pagerank_by_group(edges: DataFrame, restart: DataFrame, group: str, alpha: f
     return both.withColumn("_batch", batch).groupBy("_batch").applyInPandas(run, f"{group} {kind}, node string, rank double")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """(node, dist): steps from the nearest of ``sources`` (node) over undirected edges, up to ``most``. The frontier
-    is joined once a step; visited nodes are cut into the shared folder."""
+def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, dist): steps from the nearest of ``sources`` (node) over undirected edges, up to ``most``, or as far as
+    they lead. The frontier is joined once a step and cut into the shared folder; what it meets again can only
+    lie in the last two."""
     steps = cut(undirected(edges), "undirected")
-    seen = sources.select("node").distinct().withColumn("dist", F.lit(0))
-    for i in range(1, most + 1):
-        front = seen.where(F.col("dist") == i - 1).select(F.col("node").alias("u"))
-        new = front.join(steps, "u").select(F.col("v").alias("node")).distinct().join(seen, "node", "left_anti")
-        seen = cut(seen.unionByName(new.withColumn("dist", F.lit(i))), "seen")
+    front = cut(sources.select("node").where("node is not null").distinct().withColumn("dist", F.lit(0)), "front")
+    before, seen = front.limit(0), front
+    for i in itertools.count(1) if most is None else range(1, most + 1):
+        new = front.select(F.col("node").alias("u")).join(steps, "u").select(F.col("v").alias("node")).distinct()
+        new = new.join(front, "node", "left_anti").join(before, "node", "left_anti").withColumn("dist", F.lit(i))
+        before, front = front, cut(new, "front")
+        if not front.limit(1).count():
+            break
+        seen = seen.unionByName(front)
+        if i % 16 == 0:
+            seen = cut(seen, "seen")
     return seen
 
 

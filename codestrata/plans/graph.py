@@ -137,8 +137,18 @@ def ppr_fixed_iters(s, d):
 )
 def bfs_shortest_path_len(s, d):
     """Steps of every node from the nearest located one, up to three."""
+    return G.shortest_paths(B.code_edges(s, d), _located(s, d), 3).select("node", F.col("dist").cast("long").alias("dist"))
+
+
+def _located(s, d):
     e = table(s, d, "agent_result", "final_locations").select(F.explode("final_locations.entities").alias("e")).select(F.col("e.symbol").alias("node")).distinct()
-    return G.shortest_paths(B.code_edges(s, d), e.join(B.code_nodes(s, d), "node", "left_semi"), 3).select("node", F.col("dist").cast("long").alias("dist"))
+    return e.join(B.code_nodes(s, d), "node", "left_semi")
+
+
+@query()
+def bfs_whole_path_len(s, d):
+    """Steps of every node that a located one reaches, from the nearest, however far; ``bfs_shortest_path_len`` ends at three."""
+    return G.shortest_paths(B.code_edges(s, d), _located(s, d)).select("node", F.col("dist").cast("long").alias("dist"))
 
 
 @query(

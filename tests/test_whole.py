@@ -1,5 +1,9 @@
 """Queries that must do the whole job: cases that a bound would lose."""
 
+import random
+from collections import deque
+
+from codestrata.operators import graph as G
 from codestrata.plans import registry
 
 QUERIES = registry.queries()
@@ -21,3 +25,30 @@ def test_text_whole(spark, tmp_path):
     folder = written(tmp_path, documents=spark.createDataFrame(docs, "doc_id long, text string"))
     got = {r.doc_id: (r.unescaped, r.first_number) for r in QUERIES["whole_text_functions"](spark, folder).collect()}
     assert got == {1: ("x" * 250 + "<b> &lt; 12345678901", 12345678901), 2: ("a 123 456", 123), 3: ("", None), 4: ("9" * 30, None), 5: ("none", None)}
+
+
+def brute_distances(edges, sources):
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    dist, queue = dict.fromkeys(sources, 0), deque(sources)
+    while queue:
+        u = queue.popleft()
+        for v in near.get(u, ()):
+            if v not in dist:
+                dist[v] = dist[u] + 1
+                queue.append(v)
+    return dist
+
+
+def test_distances_whole(spark):
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(20)] + [(rng.randint(30, 90), rng.randint(30, 90)) for _ in range(60)] + [(200, 201), (5, 5)]
+    df = spark.createDataFrame(edges, "src int, dst int")
+    sources = spark.createDataFrame([(0,), (31,), (300,), (None,)], "node int")
+    want = brute_distances(edges, [0, 31, 300])
+    assert max(want.values()) == 20
+    assert rows(G.shortest_paths(df, sources), "node", "dist") == set(want.items())
+    assert rows(G.shortest_paths(df, sources, 3), "node", "dist") == {x for x in want.items() if x[1] <= 3}
+    assert G.shortest_paths(df, sources.limit(0)).count() == 0
