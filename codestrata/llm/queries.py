@@ -74,14 +74,14 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, folder: str) -> DataFrame:
-    """Records with a project; a blank package, like a null one, links nothing."""
+    """All records; a blank package, like a null one, links nothing."""
     package = F.lower(F.substring_index("namespace", ".", 1))
-    rows = table(spark, folder, "filtered", "example_id", "namespace", "project_path", "type").where("project_path is not null")
+    rows = table(spark, folder, "filtered", "example_id", "namespace", "project_path", "type")
     return rows.select(F.col("example_id").alias("id"), F.lower(strip("type")).alias("label"), project_key("project_path").alias("project"), F.when(package != "", package).alias("package"))
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    components = splits.link_components(_links(spark, folder), ["project", "package"])
+    components = splits.link_components(_links(spark, folder).where("project is not null"), ["project", "package"])
     return splits.pairs_kept_together(components).select(F.col("a").alias("project_a"), F.col("b").alias("project_b"))
 
 

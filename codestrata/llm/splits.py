@@ -33,7 +33,7 @@ def link_components(links: DataFrame, columns: list[str]) -> DataFrame:
     ends = F.filter(F.array(*(f"n{i}" for i in range(len(nodes)))), lambda x: x.isNotNull())
     held = pairs.select(ends.alias("ends")).where(F.size("ends") > 0)
     # The first value is linked with each other one, or with itself if it is alone.
-    edges = held.select(F.col("ends")[0].alias("a"), F.explode(F.when(F.size("ends") > 1, F.slice("ends", 2, len(columns))).otherwise(F.col("ends"))).alias("b")).distinct()
+    edges = held.select(F.get("ends", F.lit(0)).alias("a"), F.explode(F.when(F.size("ends") > 1, F.slice("ends", 2, len(columns))).otherwise(F.col("ends"))).alias("b")).distinct()
     return connected_components(edges)
 
 
