@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codestrata.operators.components import connected_components
 from codestrata.session import cut, shuffle_partitions
 
 
@@ -158,6 +159,50 @@ def two_step_patterns(edges: DataFrame) -> DataFrame:
     return left.where("n > 0").select(F.concat_ws(">", "first", "second").alias("pattern"), "n")
 
 
+def signed_steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(u, v, token): every edge walked both ways, with the categories of its ends, its direction and its kinds."""
+    e = edges.where("src <> dst").select("src", "dst", "kind").distinct()
+    both = e.select(F.col("src").alias("u"), F.col("dst").alias("v"), "kind", F.lit(1).alias("out"), F.lit(0).alias("back"))
+    both = both.unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v"), "kind", F.lit(0).alias("out"), F.lit(1).alias("back")))
+    s = both.groupBy("u", "v").agg(F.max("out").alias("out"), F.max("back").alias("back"), F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"))
+    for end in ("u", "v"):
+        s = s.join(nodes.select(F.col("node").alias(end), F.col("category").alias(f"{end}_category")), end, "left")
+    way = lambda two, out, back: F.when((F.col("out") == 1) & (F.col("back") == 1), two).when(F.col("out") == 1, out).otherwise(back)
+    name = lambda end: F.coalesce(f"{end}_category", F.lit("Unknown"))
+    kinds = F.when(F.col("kinds") == "", "Unknown").otherwise(F.col("kinds"))
+    return s.select("u", "v", F.concat(name("u"), way(" <->(", " -(", " <-("), kinds, way(")<-> ", ")-> ", ")- "), name("v")).alias("token"))
+
+
+def path_patterns(edges: DataFrame, nodes: DataFrame, sources: DataFrame, targets: DataFrame, group: str) -> DataFrame:
+    """(group, target, length, pattern): the shortest undirected path to each of ``targets`` (group, node) from the
+    nearest of its group's ``sources`` (group, node); without a row where none leads there. Of equal paths the one with
+    the least parents by name, from the target back. Targets no source shares a component with are not searched
+    for, and a group's search of a component ends with its last target there."""
+    steps = cut(signed_steps(edges, nodes), "signed")
+    parts = cut(connected_components(edges, "src", "dst"), "parts")
+    srcs = cut(sources.select(group, "node").distinct().join(parts, "node"), "sources")
+    want = targets.select(group, "node").distinct().join(srcs, [group, "node"], "left_anti").join(parts, "node")
+    want = cut(want.join(srcs, [group, "component"], "left_semi").select(group, "component", "node"), "targets")
+    left, levels = want, []
+    front = srcs.join(left, [group, "component"], "left_semi").select(group, "component", "node")
+    before = front.limit(0)
+    while left.limit(1).count():
+        new = front.withColumnRenamed("node", "u").join(steps, "u").groupBy(group, "component", F.col("v").alias("node")).agg(F.min(F.struct("u", "token")).alias("by"))
+        new = cut(new.join(front, [group, "node"], "left_anti").join(before, [group, "node"], "left_anti"), "level")
+        levels.append(new)
+        left = cut(left.join(new, [group, "node"], "left_anti"), "left")
+        before, front = front, cut(new.select(group, "component", "node").join(left, [group, "component"], "left_semi"), "front")
+    start = want.select(group, F.col("node").alias("target"), "node", F.lit(0).alias("length"), F.array().cast("array<string>").alias("tokens"))
+    walked = start.limit(0)
+    for i in range(len(levels), 0, -1):
+        walked = walked.unionByName(start.join(levels[i - 1], [group, "node"], "left_semi").withColumn("length", F.lit(i)).select(*start.columns))
+        back = levels[i - 1].select(group, "node", "by")
+        walked = walked.join(back, [group, "node"]).select(group, "target", F.col("by.u").alias("node"), "length", F.concat(F.array("by.token"), "tokens").alias("tokens"))
+        if i % 4 == 0:
+            walked = cut(walked, "walked")
+    return walked.select(group, "target", "length", F.array_join("tokens", " / ").alias("pattern"))
+
+
 def difference(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, side): edges of one graph that the other lacks."""
     a, b = base.select(*keys).distinct(), other.select(*keys).distinct()

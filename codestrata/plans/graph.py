@@ -160,6 +160,27 @@ def path_pattern_hist(s, d):
     return G.two_step_patterns(B.code_edges(s, d)).select("pattern", F.col("n").cast("long").alias("n")).orderBy(F.desc("n"), "pattern").limit(50)
 
 
+@query()
+def missing_path_patterns(s, d):
+    """Named dependencies that a task's located symbols lack, by how the graph leads to them: (measure, value, n) with the
+    counts of all, matched, missing outside the graph, unreachable and reachable ones, and of reachable ones
+    by length and by pattern. Every mention counts; tasks without a run count in "ground truth" only."""
+    deps = B.dependencies(s, d).groupBy(F.col("example_id").alias("task_id"), F.col("dep").alias("node")).agg(F.count("*").alias("n"))
+    nodes, seeds = cut(B.code_nodes(s, d), "nodes"), cut(_seeds(s, d).select("task_id", "node"), "seeds")
+    ran = table(s, d, "agent_result", "task_id").distinct().withColumn("ran", F.lit(1))
+    marks = deps.join(ran, "task_id", "left").join(seeds.withColumn("seed", F.lit(1)), ["task_id", "node"], "left").join(nodes.select("node", F.lit(1).alias("known")), "node", "left")
+    marks = cut(marks, "marks")
+    missing = marks.where("ran = 1 and seed is null")
+    paths = cut(G.path_patterns(B.code_edges(s, d), nodes, seeds, missing.where("known = 1"), "task_id"), "paths")
+    found = missing.join(paths.withColumnRenamed("target", "node"), ["task_id", "node"], "left")
+    state = F.when(F.col("known").isNull(), "missing, not in graph").when(F.col("length").isNull(), "missing, unreachable").otherwise("missing, reachable")
+    counted = lambda df, measure, value: df.groupBy(measure.alias("measure"), value.alias("value")).agg(F.sum("n").alias("n"))
+    none = F.lit(None).cast("string")
+    out = counted(marks, F.lit("ground truth"), none).unionByName(counted(marks.where("ran = 1 and seed = 1"), F.lit("matched"), none)).unionByName(counted(found, state, none))
+    reached = found.where("length is not null")
+    return out.unionByName(counted(reached, F.lit("length"), F.col("length").cast("string"))).unionByName(counted(reached, F.lit("pattern"), F.col("pattern")))
+
+
 @query(f"WITH {B.CODE_GRAPH} SELECT src, dst, array_to_string(list_sort(list_distinct(list(kind))), '|') AS kinds FROM edges GROUP BY 1, 2")
 def kinds_digraph(s, d):
     return G.kinds_between(B.code_edges(s, d))

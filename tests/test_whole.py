@@ -52,3 +52,29 @@ def test_distances_whole(spark):
     assert rows(G.shortest_paths(df, sources), "node", "dist") == set(want.items())
     assert rows(G.shortest_paths(df, sources, 3), "node", "dist") == {x for x in want.items() if x[1] <= 3}
     assert G.shortest_paths(df, sources.limit(0)).count() == 0
+
+
+def test_path_patterns(spark):
+    edges = [("t", "a", "Call"), ("t", "b", "Use"), ("u", "b", "Contain"), ("u", "b", "Call"), ("u", "c", "Use"), ("c", "d", "Use"), ("d", "c", "Call"), ("x", "y", "Use"), ("a", "a", "Use")]
+    nodes = [(n, "Class" if n == "c" else "Function") for n in "tabucxy"]
+    e, n = spark.createDataFrame(edges, "src string, dst string, kind string"), spark.createDataFrame(nodes, "node string, category string")
+    src = spark.createDataFrame([(1, "a"), (2, "c"), (2, "zz")], "g long, node string")
+    to = spark.createDataFrame([(1, "d"), (1, "b"), (1, "y"), (1, "a"), (2, "d"), (3, "b")], "g long, node string")
+    b = "Function <-(Call)- Function / Function -(Use)-> Function"
+    d = "Class <->(Call|Use)<-> Unknown"
+    assert rows(G.path_patterns(e, n, src, to, "g"), "g", "target", "length", "pattern") == {
+        (1, "b", 2, b), (1, "d", 5, f"{b} / Function <-(Call|Contain)- Function / Function -(Use)-> Class / {d}"), (2, "d", 1, d),
+    }
+
+
+def test_path_patterns_brute(spark):
+    rng = random.Random(8)
+    edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(75)]
+    sources = {g: set(rng.sample(range(81), rng.randint(0, 3))) for g in range(12)}
+    targets = {(g, rng.randint(0, 80)) for g in sources for _ in range(8)}
+    e = spark.createDataFrame([(a, b, "Use") for a, b in edges], "src int, dst int, kind string")
+    n = spark.createDataFrame([(i, "F") for i in range(81)], "node int, category string")
+    src = spark.createDataFrame([(g, x) for g, xs in sources.items() for x in xs], "g long, node int")
+    want = {(g, x, k) for g, x in targets if (k := brute_distances(edges, sources[g]).get(x))}
+    assert max(k for *_, k in want) > 3
+    assert rows(G.path_patterns(e, n, src, spark.createDataFrame(list(targets), "g long, node int"), "g"), "g", "target", "length") == want
