@@ -127,13 +127,14 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = None
     return seen
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, most: int | None = 64) -> DataFrame:
     """(src, dst, depth): everything reachable along (src, dst), with the least number of steps; semi-naive, so each
-    round joins only the pairs that were new in the last one. Ends on a cycle as well."""
+    round joins only the pairs that were new in the last one. Ends on a cycle as well; with ``most`` None it goes on
+    until nothing new is found."""
     e = cut(edges.select("src", "dst").distinct(), "edges")
     whole = e.withColumn("depth", F.lit(1))
     new = whole
-    for i in range(2, most + 1):
+    for i in itertools.count(2) if most is None else range(2, most + 1):
         step = new.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         new = cut(step.join(whole, ["src", "dst"], "left_anti").withColumn("depth", F.lit(i)), "new")
         if not new.limit(1).count():

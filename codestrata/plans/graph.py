@@ -275,10 +275,10 @@ def collapse_inner(s, d):
 )
 def ancestor_closure(s, d):
     """Everything that holds a name, by steps: the closure of the parent relation."""
-    up = lambda df: df.where(F.col("dst").contains(".")).select(F.col("dst").alias("src"), T.parent_part("dst").alias("dst")).distinct()
-    e = B.dependencies(s, d).where(F.col("dep").contains(".")).select(F.col("dep").alias("src"), T.parent_part("dep").alias("dst")).distinct()
-    p = e.unionByName(up(e)).distinct()
-    return G.closure(p.unionByName(up(p)).distinct(), 12).select("src", "dst", F.col("depth").cast("long").alias("depth"))
+    parts = B.dependencies(s, d).select(F.split("dep", r"\.").alias("p")).where(F.size("p") > 1).distinct()
+    name = lambda n: F.array_join(F.slice("p", F.lit(1), n), ".")
+    e = parts.select("p", F.explode(F.sequence(F.lit(2), F.size("p"))).alias("k")).select(name(F.col("k")).alias("src"), name(F.col("k") - 1).alias("dst"))
+    return G.closure(e, None).select("src", "dst", F.col("depth").cast("long").alias("depth"))
 
 
 @query(

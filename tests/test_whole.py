@@ -78,3 +78,11 @@ def test_path_patterns_brute(spark):
     want = {(g, x, k) for g, x in targets if (k := brute_distances(edges, sources[g]).get(x))}
     assert max(k for *_, k in want) > 3
     assert rows(G.path_patterns(e, n, src, spark.createDataFrame(list(targets), "g long, node int"), "g"), "g", "target", "length") == want
+
+
+def test_ancestors_whole(spark, tmp_path):
+    name = ".".join("abcdefghijklmnop")
+    dep = "struct<intra_class: array<string>, intra_file: array<string>, cross_file: array<string>>"
+    folder = written(tmp_path, filtered=spark.createDataFrame([(1, "n", ([name], [".x"], ["alone", None]))], f"example_id long, namespace string, dependency {dep}"))
+    part = lambda k: name[: 2 * k - 1]
+    assert rows(QUERIES["ancestor_closure"](spark, folder), "src", "dst", "depth") == {(part(j), part(i), j - i) for j in range(2, 17) for i in range(1, j)} | {(".x", "", 1)}
