@@ -1,14 +1,13 @@
 """Text quality of documents (problem 10): figures per document, and line labels by a hidden Markov model.
 
-Every line that is not blank is described by a few discrete statistics (marker, ending, length, share of common words, digits and
-symbols, cells, likeness to the line before). A hidden Markov model with the states prose, list, table and junk
-labels the lines of a document together, so a line that says little by itself takes the label of its
-surroundings. Label shares are aggregated per document.
+Every line that is not blank is described by a few discrete statistics (see line_stats). A hidden Markov model labels the
+lines of a document together, so a line that says little by itself takes the label of its surroundings. Each
+of the labels prose, list, table and junk has several states, one a sort of line that ``SEEDS`` names; label
+shares are aggregated per document. Every line of every document is labelled by the model, with its whole text.
 
-The model is trained here: on the documents with the ``TRAIN_DOCUMENTS`` smallest hashes of their id (a bounded sample),
-lines that one of the plain signs in ``sign`` decides are counted with their label, and the counts of the
-others are found by Viterbi training, ``ROUNDS`` times. Every document is labelled with its whole text, the
-lines that a sign decides being held to their label.
+The model is trained here, on the documents with the ``TRAIN_DOCUMENTS`` smallest hashes of their id (a bounded sample):
+first on the lines that the seeds recognize, then, by Viterbi training, ``ROUNDS`` times on all lines of the
+sample, seeds keeping their state. Seeds serve the training alone and decide nothing when documents are labelled.
 
 Defined cases: null and blank texts have figures of 0 and no label; a document is of a kind if prose has less
 than half of its weight, a line weighing its length in units of 60 characters, one at least.
@@ -16,233 +15,183 @@ than half of its weight, a line weighing its length in units of 60 characters, o
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import words
+from codestrata.llm.line_stats import CELL_SEPARATORS, FEATURES, ITEM_SEPARATORS, MARK, WIDTHS, describe, word_hashes
 from codestrata.session import cut
 
-STATES = ("prose", "list", "table", "junk")
+LABELS = ("prose", "list", "table", "junk")
 TRAIN_DOCUMENTS = 3000
 ROUNDS = 2
-PRIOR = 0.5
+PRIOR = 1.0  # pseudo-counts of a feature of a state, spread over its values
 STAY = 8.0  # pseudo-count of staying in a state
 UNIT = 60
+CHARS = 1_000_000  # of lines described at once
 
-_MARK = re.compile(r"\s*(?:(?P<box>\[[ xX]?\]|☐|☑)\s|(?P<number>\(?\d{1,4}[.)]|[a-zA-Z][.)])\s|(?P<bullet>[-*+•–◦▪·])\s|(?P<tag></?(?:table|tr|td|th|tbody|thead)\b)|(?P<item></?(?:li|ul|ol)\b)|(?P<pipe>\|(?=.*\|\s*$))|(?P<rule>[+|]?[-=+:| ]{4,}[+|]?$)|(?P<brace>[{}\[\]<])|(?P<head>#{1,6} )|(?P<quote>>\s)|(?P<stamp>\d{4}-\d\d-\d\d|\d\d:\d\d:\d\d|[0-9a-f]{8}\s)|(?P<at>at \S+ ?\(|File \".*\", line \d|\"[\w.-]+\"\s*:))")
-_WORDS = re.compile(r"\w+")
-_PAIR = re.compile(r"\s*[\w.\[\]-]+\s*(?:->|=>|[=~<>!]=|=|:)\s*\S+(?:\s\S+)?\s*$")
-_PATH = re.compile(r"\s*[\w.-]+(?:[/\\][\w.-]+)+\s*$")
-_SENTENCE = re.compile(r"[^\W\d]{2,}[.!?…][\"'”’)]?(?=\s|$)")
-_SPACED = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
-_CELL = re.compile(r"<t[dh]\b")
-
-
-_LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
-_DIGITS = b"0123456789"
-_SPACES = b" \t\n\r\v\f\x1c\x1d\x1e\x1f"
-
-
-def _grade(x: float, *bounds: float) -> int:
-    return sum(x >= b for b in bounds)
-
-
-def items_in(line: str) -> tuple[int, str]:
-    """Most items that one separator gives, all of at most three words, and the separator."""
-    best, by = 1, ""
-    for sep in (", ", "; ", " / ", " | ", " » ", " > ", " · ", " • "):
-        n = line.count(sep) + 1
-        if n > best and max(len(x.split()) for x in line.split(sep)) <= 3:
-            best, by = n, sep.strip()
-    return best, by
-
-
-def cells_in(line: str) -> tuple[int, str]:
-    """Most cells of a row in any notation, and the notation."""
-    counts = {"|": 1, "\t": line.count("\t") + 1, "  ": 1, "<": 0}
-    if "|" in line:
-        counts["|"] = line.strip().strip("|").count("|") + 1
-    if "  " in line or "\t" in line:
-        counts["  "] = len(_SPACED.findall(line.strip())) + 1
-    if "<t" in line:
-        counts["<"] = len(_CELL.findall(line))
-    for sep in (";", ","):
-        # Rows of such tables have no blank behind the separator.
-        counts[sep] = 1 if f"{sep} " in line else line.count(sep) + 1
-    by = max(counts, key=counts.get)
-    return counts[by], by
-
-
-def describe(lines: list[str], common: frozenset[str]) -> list[tuple]:
-    """Discrete statistics of each line."""
-    out, before, cells_before, last_words = [], None, (1, ""), None
-    for line in lines:
-        bare = line.strip()
-        w = _WORDS.findall(line.lower())
-        n, size = len(w), len(bare)
-        known = sum(x in common for x in w) / n if n else 0.0
-        if bare.isascii():
-            raw = bare.encode()
-            digits = size - len(raw.translate(None, _DIGITS))
-            left = raw.translate(None, _LETTERS + _DIGITS + _SPACES)
-        else:
-            digits = sum(map(str.isdigit, bare))
-            left = [c for c in bare if not c.isalnum() and not c.isspace()]
-        symbols, kinds = len(left), len(set(left))
-        longest = max(map(len, bare.split()))
-        m = _MARK.match(line)
-        mark = m.lastgroup if m else "pair" if _PAIR.match(line) else "path" if _PATH.match(line) else ""
-        items, by = items_in(line)
-        cells = cells_in(line)
-        like = 2 if bare == before else 1 if cells == cells_before and cells[0] > 1 else 0
-        distinct = len(set(w)) / n if n else 1.0
-        out.append(
-            (
-                mark,
-                _grade(known, 0.01, 0.12, 0.22, 0.35),
-                _grade(n, 1, 2, 4, 6, 10, 25),
-                2 if _SENTENCE.search(line) else 1 if bare[-1] in ".!?:,;" else 0,
-                _grade(symbols / size, 0.03, 0.08, 0.15, 0.3, 0.5),
-                _grade(digits / size, 0.01, 0.1, 0.25, 0.5),
-                _grade(longest, 15, 24, 40, 60),
-                (_grade(items, 3, 6), by if items > 2 else ""),
-                (_grade(cells[0], 2, 3, 5), cells[1] if cells[0] > 1 else "", like),
-                _grade(distinct, 0.25, 0.5, 0.8) if n >= 4 else 4,
-                1 if w and w == last_words else 0,
-                _grade(kinds, 5, 8),
-            )
-        )
-        before, cells_before, last_words = bare, cells, w
-    return out
+
+def _marked(f: dict, *names: str) -> np.ndarray:
+    return np.isin(f["mark"], [MARK[n] for n in names])
+
+
+def _split_by(f: dict, *seps: str) -> np.ndarray:
+    return (f["items"] // 9 >= 2) & np.isin(f["items"] % 9, [ITEM_SEPARATORS.index(s) + 1 for s in seps])
+
+
+def _plain(f: dict) -> np.ndarray:
+    return (f["cells"] // 21 < 1) & (f["symbols"] < 3)
 
 
-def sign(line: str, f: tuple) -> str | None:
-    """Label of a line that says what it is by itself."""
-    mark, known, n, ends, symbols, digits, longest, (items, by), (cells, sep, like), distinct, same, kinds = f
-    bare = line.strip()
-    if mark in ("tag", "rule", "pipe"):
-        return "table"
-    if mark in ("stamp", "at") or "\u00a9" in bare or (items >= 2 and by in ("|", ">", "\u00bb", "\u00b7", "\u2022")):
-        return "junk"
-    if same or (n >= 4 and distinct == 0):
-        return "junk"
-    if known >= 3 and n >= 4 and cells < 2 and symbols < 3 and mark in ("", "quote", "head"):
-        return "prose"
-    if ends == 2 and known >= 2 and n >= 4 and cells < 2 and symbols < 3:
-        return "prose"
-    if bare[:2] in ('{"', "[{", "[[") or (longest == 4 and " " not in bare and known == 0 and cells < 2) or (mark == "brace" and symbols >= 3):
-        return "junk"
-    if symbols >= 4 and kinds >= 1:
-        return "junk"
-    if mark in ("box", "number", "bullet", "pair", "path", "item") and known <= 1:
-        return "list"
-    if items >= 2 and by in (",", ";", "/"):
-        return "list"
-    if cells >= 2 and sep in ("\t", "  ", ";", ",") and like == 1:
-        return "table"
-    return None
-
-
-def decided(lines: list[str], features: list[tuple]) -> list[int | None]:
-    return [None if (x := sign(line, f)) is None else STATES.index(x) for line, f in zip(lines, features)]
+def _columns(f: dict) -> np.ndarray:
+    sep = f["cells"] // 3 % 7
+    return (f["cells"] // 21 >= 2) & np.isin(sep, [CELL_SEPARATORS.index(s) + 1 for s in ("\t", "  ", ";", ",")]) & (f["cells"] % 3 == 1)
+
+
+# States: label, and the lines of the training sample that are taken for it at first. The first that holds counts.
+SEEDS = (
+    ("table", lambda f: _marked(f, "tag")),
+    ("table", lambda f: _marked(f, "rule", "pipe")),
+    ("junk", lambda f: _marked(f, "stamp")),
+    ("junk", lambda f: _marked(f, "at")),
+    ("junk", lambda f: _split_by(f, " | ", " > ", " » ", " · ", " • ")),
+    ("junk", lambda f: (f["same"] == 1) | ((f["words"] >= 4) & (f["distinct"] == 0))),
+    ("junk", lambda f: _marked(f, "object")),
+    ("prose", lambda f: (f["known"] >= 3) & (f["words"] >= 3) & _plain(f) & (_marked(f, "quote", "head") | (f["mark"] == 0))),
+    ("prose", lambda f: (f["ending"] == 2) & (f["known"] >= 2) & (f["words"] >= 3) & _plain(f)),
+    ("junk", lambda f: (f["longest"] == 4) & (f["words"] <= 4) & (f["known"] == 0) & (f["switches"] >= 2)),
+    ("junk", lambda f: ((f["symbols"] >= 4) & (f["kinds"] >= 1)) | (_marked(f, "brace") & (f["symbols"] >= 3))),
+    ("junk", lambda f: f["foreign"] == 3),
+    ("list", lambda f: _marked(f, "box", "number", "bullet", "item") & (f["known"] <= 1)),
+    ("list", lambda f: _marked(f, "pair") & (f["known"] <= 1)),
+    ("list", lambda f: _marked(f, "path") & (f["known"] <= 1)),
+    ("list", lambda f: _split_by(f, ", ", "; ", " / ")),
+    ("table", _columns),
+)
+STATES = len(SEEDS)
+LABEL_OF = np.array([LABELS.index(label) for label, _ in SEEDS])
+
+
+def seeds_of(features: np.ndarray) -> np.ndarray:
+    """State of each line for the first round of the training, -1 where no seed holds."""
+    f = dict(zip(FEATURES, features.T))
+    out = np.full(len(features), -1)
+    for s in reversed(range(STATES)):
+        out[SEEDS[s][1](f)] = s
+    return out
 
 
 class Model:
-    """Log probabilities from counts, with a prior for what was never seen."""
+    """Log probabilities from counts (kind, state, feature or state, value, n), with a prior for what was never seen."""
 
-    def __init__(self, counts: dict[tuple, float]):
-        seen: dict[int, set] = {}
-        totals: Counter = Counter()
-        for (kind, s, k, v), n in counts.items():
+    def __init__(self, counts: list[tuple]):
+        self.emit = [np.full((STATES, w), PRIOR / w) for w in WIDTHS]
+        start, step = np.ones(STATES), np.full((STATES, STATES), PRIOR / STATES) + np.eye(STATES) * STAY
+        for kind, s, k, v, n in counts:
             if kind == "emit":
-                seen.setdefault(k, set()).add(v)
-                totals[s, k] += n
-        self.emit = {(s, k, v): math.log((n + PRIOR) / (totals[s, k] + PRIOR * (len(seen[k]) + 1))) for (kind, s, k, v), n in counts.items() if kind == "emit"}
-        self.unseen = {(s, k): math.log(PRIOR / (totals[s, k] + PRIOR * (len(v) + 1))) for k, v in seen.items() for s in range(len(STATES))}
-        self.known: dict[tuple, list[float]] = {}
-        start = [counts.get(("start", s, 0, ""), 0) + 1 for s in range(len(STATES))]
-        self.start = [math.log(x / sum(start)) for x in start]
-        self.step = []
-        for s in range(len(STATES)):
-            row = [counts.get(("step", s, t, ""), 0) + (STAY if s == t else PRIOR) for t in range(len(STATES))]
-            self.step.append([math.log(x / sum(row)) for x in row])
-
-    def _emission(self, f: tuple) -> list[float]:
-        """Log probabilities of the statistics of a line in each state; like lines are many, so they are kept."""
-        if (e := self.known.get(f)) is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            values = [repr(v) for v in f]
-            e = self.known[f] = [sum(self.emit.get((s, k, v), self.unseen.get((s, k), 0.0)) for k, v in enumerate(values)) for s in range(len(STATES))]
-        return e
-
-    def best(self, features: list[tuple], fixed: list[int | None] | None = None) -> list[int]:
-        """Most likely states of the lines; ``fixed`` states are kept."""
-        if not features:
-            return []
-        if fixed and None not in fixed:
-            return fixed
-        back, score = [], None
-        for i, f in enumerate(features):
-            if fixed and fixed[i] is not None:
-                e = [0.0 if s == fixed[i] else -1e9 for s in range(len(STATES))]
+                self.emit[k][s, v] += n
+            elif kind == "step":
+                step[s, k] += n
             else:
-                e = self._emission(f)
-            if score is None:
-                score = [a + b for a, b in zip(self.start, e)]
-                continue
-            came = [max(range(len(STATES)), key=lambda r, t=t: score[r] + self.step[r][t]) for t in range(len(STATES))]
-            score = [score[came[t]] + self.step[came[t]][t] + e[t] for t in range(len(STATES))]
-            back.append(came)
-        at = max(range(len(STATES)), key=lambda s: score[s])
-        out = [at]
-        for came in reversed(back):
-            out.append(at := came[at])
-        return out[::-1]
-
-
-def _lines(text: str | None) -> list[str]:
-    return [x for x in (text or "").splitlines() if x.strip()]
-
-
-def _counted(states: list[int | None], features: list[tuple]) -> Counter:
-    c: Counter = Counter()
-    for i, (s, f) in enumerate(zip(states, features)):
-        if s is None:
-            continue
-        for k, v in enumerate(f):
-            c["emit", s, k, repr(v)] += 1
-        if i == 0:
-            c["start", s, 0, ""] += 1
-        elif states[i - 1] is not None:
-            c["step", states[i - 1], s, ""] += 1
-    return c
-
-
-def train(documents: DataFrame, common: frozenset[str]) -> Model:
-    """Model from the bounded sample of (id, text). Only counts of line statistics reach the driver: of a few dozen values each."""
-    sample = cut(documents.where("length(trim(text)) > 0").select("id", "text").orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS).select("text"), "sample").repartition(8)
+                start[s] += n
+        self.emit = [np.log(e / e.sum(axis=1, keepdims=True)) for e in self.emit]
+        self.start = np.log(start / start.sum())
+        self.step = np.log(step / step.sum(axis=1, keepdims=True))
+
+    def best(self, features: np.ndarray, sizes: np.ndarray, fixed: np.ndarray | None = None) -> np.ndarray:
+        """Most likely states of the lines of documents with ``sizes`` lines each; ``fixed`` ones (not -1) are kept. The documents of a
+        batch go through the lines side by side, longest first, so that each step is one operation on all of them."""
+        score = np.zeros((len(features), STATES))
+        for k, e in enumerate(self.emit):
+            score += e.T[features[:, k]]
+        if fixed is not None:
+            at = np.flatnonzero(fixed >= 0)
+            score[at] = -1e9
+            score[at, fixed[at]] = 0.0
+        order = np.argsort(-sizes, kind="stable")
+        begin = (np.cumsum(sizes) - sizes)[order]
+        sizes = sizes[order]
+        came = np.zeros((len(features), STATES), np.int8)
+        most = int(sizes[0]) if len(sizes) else 0
+        alive = np.searchsorted(-sizes, -np.arange(most), side="left")  # documents with more than t lines
+        score[begin[sizes > 0]] += self.start
+        for t in range(1, most):
+            at = begin[: alive[t]] + t
+            through = score[at - 1][:, :, None] + self.step
+            came[at] = through.argmax(axis=1)
+            score[at] += through.max(axis=1)
+        out = np.zeros(len(features), np.int64)
+        for t in range(most - 1, -1, -1):
+            at = begin[: alive[t]] + t
+            ends = sizes[: alive[t]] == t + 1
+            out[at[ends]] = score[at[ends]].argmax(axis=1)
+            on = at[~ends]
+            out[on] = came[on + 1, out[on + 1]]
+        return out
+
+
+def _parts(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Lines without outer blanks, and how many each text has, for stretches of the batch of about ``CHARS`` characters."""
+    lines, sizes, chars = [], [], 0
+    for text in texts:
+        own = [x for x in map(str.strip, (text or "").splitlines()) if x]
+        lines += own
+        sizes.append(len(own))
+        chars += len(text or "")
+        if chars >= CHARS:
+            yield lines, np.array(sizes)
+            lines, sizes, chars = [], [], 0
+    if sizes:
+        yield lines, np.array(sizes)
+
+
+def _described(lines: list[str], sizes: np.ndarray, common: np.ndarray) -> np.ndarray:
+    first = np.zeros(len(lines), bool)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    return describe(lines, first, common)
+
+
+def _counted(states: np.ndarray, features: np.ndarray, sizes: np.ndarray) -> Iterator[tuple]:
+    """Counts of what the lines with a state (not -1) emit, and of the steps between them."""
+    at = states >= 0
+    for k, w in enumerate(WIDTHS):
+        n = np.bincount(states[at] * w + features[at, k], minlength=STATES * w)
+        yield from (("emit", int(i // w), k, int(i % w), float(n[i])) for i in np.flatnonzero(n))
+    begin = (np.cumsum(sizes) - sizes)[sizes > 0]
+    n = np.bincount(states[begin][states[begin] >= 0], minlength=STATES)
+    yield from (("start", int(s), 0, 0, float(n[s])) for s in np.flatnonzero(n))
+    inner = np.ones(len(states), bool)
+    inner[begin] = False
+    to = np.flatnonzero(inner)
+    to = to[(states[to] >= 0) & (states[to - 1] >= 0)]
+    n = np.bincount(states[to - 1] * STATES + states[to], minlength=STATES * STATES)
+    yield from (("step", int(i // STATES), int(i % STATES), 0, float(n[i])) for i in np.flatnonzero(n))
+
+
+_COUNTS = "kind string, a int, b int, v int, n double"
+
+
+def train(documents: DataFrame, common: np.ndarray) -> Model:
+    """Model from the bounded sample of (id, text). Only counts reach the driver: as many as the model has numbers."""
+    sample = cut(documents.where("length(trim(text)) > 0").select("id", "text").orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCUMENTS).select("text"), "sample")
 
     def counts(model: Model | None) -> Model:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: Counter = Counter()
             for b in batches:
-                for text in b.column(0).to_pylist():
-                    lines = _lines(text)
-                    f = describe(lines, common)
-                    fixed = decided(lines, f)
-                    total += _counted(model.best(f, fixed) if model else fixed, f)
-            rows = list(zip(*((*k, float(n)) for k, n in total.items()))) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64()))], names=["kind", "a", "b", "v", "n"])
+                for lines, sizes in _parts(b.column(0).to_pylist()):
+                    f = _described(lines, sizes, common)
+                    states = seeds_of(f)
+                    if model:
+                        states = model.best(f, sizes, states)
+                    cols = list(zip(*_counted(states, f, sizes))) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64()))], names=["kind", "a", "b", "v", "n"])
 
-        found = sample.mapInArrow(run, "kind string, a int, b int, v string, n double").groupBy("kind", "a", "b", "v").agg(F.sum("n").alias("n")).collect()
-        return Model({(r["kind"], r["a"], r["b"], r["v"]): r["n"] for r in found})
+        found = sample.mapInArrow(run, _COUNTS).groupBy("kind", "a", "b", "v").agg(F.sum("n").alias("n")).collect()
+        return Model([tuple(r) for r in found])
 
     model = counts(None)
     for _ in range(ROUNDS):
@@ -253,25 +202,25 @@ def train(documents: DataFrame, common: frozenset[str]) -> Model:
 def label_shares(documents: DataFrame, common_words: DataFrame) -> DataFrame:
     """(id, lines, prose, list, table, junk, kind) of (id, text): shares of the labels by weight, and the kind, null
     for prose and for texts without a line. ``common_words`` (word) is a fixed list of a few hundred."""
-    common = frozenset(r[0].lower() for r in common_words.select("word").where("word is not null").distinct().collect())
+    listed = sorted(r[0].lower() for r in common_words.select("word").where("word is not null").distinct().collect())
+    common = np.unique(word_hashes(listed))
     model = train(documents, common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines = _lines(text)
-                weight = [0.0] * len(STATES)
-                described = describe(lines, common)
-                for line, s in zip(lines, model.best(described, decided(lines, described))):
-                    weight[s] += max(1.0, len(" ".join(line.split())) / UNIT)
-                total = sum(weight) or 1.0
-                shares = [round(x / total, 6) for x in weight]
-                kind = max(range(1, len(STATES)), key=lambda s: weight[s])
-                rows.append((i, len(lines), *shares, STATES[kind] if lines and shares[0] < 0.5 else None))
-            cols = list(zip(*rows)) or [[]] * 7
-            types = (pa.int64(), pa.int64(), *[pa.float64()] * 4, pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["id", "lines", *STATES, "kind"])
+            ids, at = b.column(0), 0
+            for lines, sizes in _parts(b.column(1).to_pylist()):
+                states = model.best(_described(lines, sizes, common), sizes)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                weight = np.maximum(1.0, np.array([len(" ".join(x.split())) for x in lines], float) / UNIT)
+                total = np.bincount(doc * len(LABELS) + LABEL_OF[states], weight, len(sizes) * len(LABELS)).reshape(-1, len(LABELS))
+                shares = np.round(total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12), 6)
+                kind = np.where((sizes > 0) & (shares[:, 0] < 0.5), 1 + total[:, 1:].argmax(axis=1), 0)
+                names = np.array([None, *LABELS[1:]], object)[kind]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, len(sizes)), pa.array(sizes.astype(np.int64)), *(pa.array(shares[:, i]) for i in range(len(LABELS))), pa.array(names, pa.string())], names=["id", "lines", *LABELS, "kind"]
+                )
+                at += len(sizes)
 
     return documents.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, lines long, prose double, list double, table double, junk double, kind string")
 
