@@ -1,17 +1,22 @@
 """Several values packed in one field: one row per value, with its position and an error flag.
 
-The parsers are parsing expression grammars, written as functions of a text and a place in it. Alternatives
-are tried in order and a failing one gives the place back:
+The parsers are parsing expression grammars. Alternatives are tried in order, and one that fails gives its place back
+to the next:
 
     field     <- item (SEP item)* END
-    item      <- BLANK* (quoted / bracketed / bare) BLANK*
-    quoted    <- Q (QQ / !Q .)* Q  &(BLANK* (SEP / END))       for Q in " ' `
-    bracketed <- '[' field ']'     &(BLANK* (SEP / END))
-    bare      <- (!SEP .)*
-
-SEP is a comma, semicolon, bar, tab or line break. A quote opens only at the start of an item. Where a quote
-is not closed before a separator, ``quoted`` fails, the item is read again as ``bare`` and its values carry
-the flag ``malformed_quote``; an opening bracket without its partner gives ``malformed_bracket``.
+    item      <- OPEN* (quoted / bare) CLOSE*
+    quoted    <- Q (QQ / !Q .)* Q  &(CLOSE* (SEP / END))       for Q in " ' `
+    bare      <- (!(CLOSE* (SEP / END)) .)*
+    bracketed <- OPEN item (SEP item)* CLOSE
+    OPEN, CLOSE <- BLANK* '[' BLANK*, BLANK* ']' BLANK*
+
+SEP is a comma, semicolon, bar, tab or line break. A quote opens only at the start of an item; where it is not closed
+before the item ends, ``quoted`` fails and the item is read again as ``bare``, its value with the flag ``malformed_quote``. A bracket
+inside a bare value belongs to that value together with its partner there. Whether an OPEN is closed shows only further
+on: a first pass finds the partners with a stack, and where ``bracketed`` failed for want of one, the second pass gives
+the bracket back to the item, whose text it is if it is balanced there (``[a] b``); else the value has the flag
+``malformed_bracket``, as has one before a CLOSE without partner. Nothing recurses, and a field takes time in proportion to its
+length, however many brackets it has and however deep they lie.
 
 Defined cases: a null or blank field gives no rows; empty values are not counted; repeated values stay;
 texts are read whole, whatever their length.
@@ -26,56 +31,79 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_BLANK = r"[^\S\t\n\r\v\f\x1c-\x1e\x85  ]*"
-_SEP = r",;|\t\n\r\v\f\x1c-\x1e\x85  "
-_QUOTED = re.compile(rf"{_BLANK}([\"'`])((?:(?!\1).|\1\1)*+)\1{_BLANK}(?=[{_SEP}]|\Z)", re.S)
-_CLOSERS = re.compile(rf"\]{_BLANK}(?=[{_SEP}]|\Z)")
-_BARE = re.compile(rf"[^{_SEP}]*")
-_START = re.compile(_BLANK)
-
-
-def _quoted(text: str, at: int) -> tuple[int, list] | None:
-    m = _QUOTED.match(text, at)
-    if not m:
-        return None
-    q = m[1]
-    return m.end(), [(m[2].replace(q + q, q).strip(), "")]
-
-
-def _bracketed(text: str, at: int) -> tuple[int, list] | None:
-    at = _START.match(text, at).end()
-    if text[at : at + 1] != "[":
-        return None
-    closers = list(_CLOSERS.finditer(text, at))
-    for m in reversed(closers):
-        return m.end(), _field(text[at + 1 : m.start()])
-    return None
-
-
-def _bare(text: str, at: int) -> tuple[int, list]:
-    m = _BARE.match(text, at)
-    value, flag = m[0].strip(), ""
-    if value[:1] in ('"', "'", "`"):
-        value, flag = value[1:].strip(), "malformed_quote"
-    if value[:1] == "[" and value.count("[") > value.count("]"):
-        value, flag = value[1:].strip(), flag or "malformed_bracket"
-    if value[-1:] == "]" and value.count("]") > value.count("["):
-        value, flag = value[:-1].strip(), flag or "malformed_bracket"
-    return m.end(), [(value, flag)]
-
-
-def _field(text: str) -> list[tuple[str, str]]:
-    out, at = [], 0
+_BREAKS = "\t\n\r\v\f\x1c-\x1e\x85\u2028\u2029"
+_BLANK = rf"[^\S{_BREAKS}]*+"
+_SEP = f",;|{_BREAKS}"
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_OPEN = re.compile(rf"(?:{_BLANK}\[)*+{_BLANK}")
+_QUOTED = re.compile(rf"([\"'`])((?:(?!\1).|\1\1)*+)\1((?:{_BLANK}\])*+){_BLANK}(?=[{_SEP}]|\Z)", re.S)
+_SEGMENT = re.compile(rf"[^{_SEP}]*+")
+
+
+class _Item:
+    """One item: places of its opening brackets, its value, how many closing brackets end it that no bracket in the value
+    opened, and where it ends."""
+
+    def __init__(self, text: str, at: int):
+        core = _OPEN.match(text, at).end()
+        self.opens = [i for i in range(at, core) if text[i] == "["]
+        if m := _QUOTED.match(text, core):
+            self.quoted, self.body, self.kept = True, m[2].replace(m[1] * 2, m[1]).strip(), ""
+            self.free, self.end = m[3].count("]"), m.end()
+            return
+        self.quoted, segment = False, _SEGMENT.match(text, core)[0]
+        self.end = core + len(segment)
+        self.body = segment.rstrip("]" + _BLANKS) if segment.rstrip()[-1:] == "]" else segment.rstrip()
+        tail = segment[len(self.body) :]
+        inner = min(tail.count("]"), max(0, self.body.count("[") - self.body.count("]")))
+        self.free = tail.count("]") - inner
+        cut = 0
+        for _ in range(inner):
+            cut = tail.index("]", cut) + 1
+        self.kept = tail[:cut]  # closing brackets that belong to the value
+
+
+def _items(text: str) -> Iterator[_Item]:
+    at = 0
     while at <= len(text):
-        end, values = _quoted(text, at) or _bracketed(text, at) or _bare(text, at)
-        out += [v for v in values if v[0]]
-        at = end + 1
-    return out
+        item = _Item(text, at)
+        yield item
+        at = item.end + 1
+
+
+def _closed(text: str) -> set[int]:
+    """Places of the opening brackets that find a partner."""
+    found, stack = set(), []
+    for item in _items(text):
+        stack += item.opens
+        for _ in range(min(item.free, len(stack))):
+            found.add(stack.pop())
+    return found
+
+
+def _values(text: str) -> Iterator[tuple[str, str]]:
+    closed, depth, flag = _closed(text) if "[" in text else set(), 0, ""
+    for item in _items(text):
+        stray = [i for i in item.opens if i not in closed]
+        depth += len(item.opens) - len(stray)
+        value, held = item.body + item.kept, item.free - min(item.free, depth)
+        depth -= item.free - held
+        if not item.quoted:
+            if stray and len(stray) + item.body.count("[") <= item.body.count("]") + len(item.kept):
+                value, stray = text[stray[0] : item.end].strip(), []
+            if value[:1] in ('"', "'", "`"):
+                value, flag = value[1:].strip(), flag or "malformed_quote"
+        if stray or held:
+            flag = "malformed_bracket"
+        if value:
+            yield value, flag
+        if value or not item.opens:  # an item that is only an opening bracket hands its flag on
+            flag = ""
 
 
 def parse_packed(text: str | None) -> list[tuple[str, str]]:
     """Values of one field in order, each with its error flag ('' if it parsed cleanly)."""
-    return _field(text) if text else []
+    return list(_values(text)) if text else []
 
 
 # Endings of files that a location can name, and words that only say what a symbol is: fixed values.
@@ -88,7 +116,7 @@ _PATH = r"[^\s\"'`,;|()\[\]{}<>:*]+"
 _LOCATION = re.compile(
     rf"(?P<file>(?:{_PATH}\.py|{_PATH}[/\\]{_PATH}\.(?:{'|'.join(FILE_ENDINGS)})))(?![\w/\\-])[\"'`]*"
     rf"(?::\d+(?:-\d+)?(?!\w))*"
-    rf"(?:(?:::?[^\S\n]*|\t|[^\S\n]+\()(?:(?:{_KINDS})\s*:\s*)?[\"'`]*(?P<name>{_NAME}))?",
+    rf"(?:(?:::?[^\S\n]*|\t|[^\S\n]+\()(?:(?:{_KINDS})\s*:\s*|(?:async[^\S\n]+)?(?:def|class)[^\S\n]+)?[\"'`]*(?P<name>{_NAME}))?",
     re.I,
 )
 _KIND_LINE = re.compile(rf"\W*(?:{_KINDS})\s*:\s*[\"'`]*(?P<name>{_NAME})(?:\(.*\))?[\"'`),;.\s]*\Z", re.I)

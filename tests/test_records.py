@@ -28,6 +28,33 @@ def test_packed_malformed():
     assert parse_packed('"' + "y" * 300_000)[0][1] == "malformed_quote"
 
 
+def test_packed_brackets():
+    """Several bracketed groups in one field, groups in groups, and brackets that belong to a value."""
+    assert parse_packed("[a], [b]") == [("a", ""), ("b", "")] and parse_packed('["a"], ["b"]') == [("a", ""), ("b", "")]
+    assert parse_packed("[[a, b], [c]]; d") == [(x, "") for x in "abcd"] and vals("[x[0], y[1]]") == ["x[0]", "y[1]"]
+    assert vals("[a] b, c") == ["[a] b", "c"] and vals('["a]", \'[b\']') == ["a]", "[b"] and vals("[], [ ], [[]]") == []
+
+
+def test_packed_fallbacks(spark):
+    """Planted malformed fields: what was read by a fallback has its flag, the other values of the field none."""
+    bracket, quote = "malformed_bracket", "malformed_quote"
+    planted = {
+        "[a, [b]": [("a", bracket), ("b", "")], '[ "a", b': [("a", bracket), ("b", "")], "[, a": [("a", bracket)], "a], b": [("a", bracket), ("b", "")], '"a"]': [("a", bracket)], "[a]]": [("a", bracket)],
+        '["a", "b, c': [("a", bracket), ("b", quote), ("c", "")], "x[0, y]": [("x[0", ""), ("y", bracket)], "'a' b, c": [("a' b", quote), ("c", "")],
+    }
+    df = spark.createDataFrame(list(enumerate(planted)), "k long, t string")
+    got = {(r.rec_id, r.pos): (r.val, r.flag) for r in split_packed(df, "k", "t").collect()}
+    assert got == {(i, p): v for i, vs in enumerate(planted.values()) for p, v in enumerate(vs, 1)}
+
+
+def test_packed_deep_and_long():
+    """Nothing recurses and nothing takes more than time in proportion."""
+    n = 100_000
+    assert len(parse_packed("[a]," * n)) == n and parse_packed("[" * n + "a" + "]" * n) == [("a", "")]
+    assert parse_packed("[" * n) == parse_packed("]" * n) == [] and vals("[" * n + "a")[-1] == "a" and vals("a[ " * n)[0].startswith("a[ a[")
+    assert len(parse_packed("[a" * n + ",b]")) == 2 and len(parse_packed('"a" b, ' * n)) == n
+
+
 def locs(text):
     return [v for v, _ in parse_locations(text) if v]
 
@@ -38,6 +65,7 @@ def test_locations():
     assert locs("1. `a/b.py` (Class: Größe)\n2) `a/b.py`") == ["a/b.py:Größe", "a/b.py"]
     assert locs("a/b.py\tf\na/b.py\t") == ["a/b.py:f", "a/b.py"]
     assert locs("a/b.py:12") == ["a/b.py"] and locs("a/b.py:variable: X") == ["a/b.py:X"]
+    assert locs("see a/b.py: def f") == ["a/b.py:f"] and locs("a/b.py:class G") == ["a/b.py:G"]
     assert locs("No location could be verified.") == locs(None) == locs("function: f") == []
 
 
