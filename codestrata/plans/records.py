@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.operators.packed import split_packed
-from codestrata.operators.shred import path_values, pivot_group, shred_rows
+from codestrata.operators.shred import path_values, pivot_group, shred_rows, shred_struct
 from codestrata.sources.tables import table
 
 
@@ -23,17 +23,15 @@ def p4_malformed(spark: SparkSession, folder: str) -> DataFrame:
     return terms.where(F.col("flag") != "").select("rec_id", "pos", "val", "flag").distinct()
 
 
-def _agent_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Runs as JSON, without the code of the entities."""
-    entities = F.transform("final_locations.entities", lambda e: F.when(e.isNotNull(), F.struct(e["file"].alias("file"), e["symbol"].alias("symbol"))))
-    return table(spark, folder, "agent_result", "run_id", "final_locations").select(
-        "run_id", F.to_json(F.struct(F.struct(entities.alias("entities")).alias("final_locations"))).alias("document")
-    )
+def _run_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Located entities of runs, from the typed column: a run has one attempt."""
+    entities = shred_struct(table(spark, folder, "agent_result", "run_id", "final_locations"), "run_id", "final_locations")["entities[]"]
+    return entities.select("rec_id", F.lit(1).cast("long").alias("attempt_pos"), F.col("ord_1").alias("entity_pos"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("file", "symbol")))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     shape = {"rows_key": "entities", "list_key": "attempts", "below": "final_locations", "columns": ("file", "symbol"), "inherited": ("file",)}
-    runs = shred_rows(_agent_documents(spark, folder), "run_id", "document", **shape).withColumn("src", F.lit("agent_result"))
+    runs = _run_entities(spark, folder).withColumn("src", F.lit("agent_result"))
     raw = shred_rows(table(spark, folder, "raw_result", "raw_id", "payload"), "raw_id", "payload", **shape).withColumn("src", F.lit("raw_result"))
     return runs.unionByName(raw).select("src", "rec_id", "attempt_pos", "entity_pos", "file", "symbol").distinct()
 

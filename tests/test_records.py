@@ -1,7 +1,8 @@
 import json
+import random
 
 from codestrata.operators.packed import parse_locations, parse_packed, split_packed
-from codestrata.operators.shred import path_values, pivot_group, shred_rows, triples
+from codestrata.operators.shred import nested_rows, ordinals, path_text, path_values, pivot_group, shred_rows, shred_struct, triples
 
 SHAPE = {"rows_key": "entities", "list_key": "attempts", "below": "final_locations", "columns": ("file", "symbol"), "inherited": ("file",)}
 
@@ -90,10 +91,61 @@ def test_shred(spark):
 
 
 def test_triples_pivot(spark):
-    assert list(triples({"a": [{"b": 1}, None]})) == [("", (), {}), ("a", (), []), ("a[]", (1,), {}), ("a[].b", (1,), 1), ("a[]", (2,), None)]
+    read = lambda text: [(path_text(s), tuple(ordinals(s)), v) for s, v in triples(text)]
+    assert read('{"a": [{"b": 1}, null]}') == [("", (), {}), ("a", (), []), ("a[]", (1,), {}), ("a[].b", (1,), 1), ("a[]", (2,), None)]
+    assert read('{"a.b": {"c[]": "[2]"}}')[-1] == (r"a\.b.c\[\][]", (1,), 2)
     df = spark.createDataFrame([(1, json.dumps({"a": [{"b": 1, "c": [{"d": "x"}, {"d": "y"}]}, {"c": [{"d": "z"}]}]}))], "k long, j string")
     t = path_values(df, "k", "j")
     inner = {(r.rec_id, tuple(r.parent), r.ordinal, r.d) for r in pivot_group(t, "a[].c[]", {"d": "d"}).collect()}
     assert inner == {(1, (1,), 1, "x"), (1, (1,), 2, "y"), (1, (2,), 1, "z")}
     outer = {(r.rec_id, tuple(r.parent), r.ordinal, r.b) for r in pivot_group(t, "a[]", {"b": "b"}).collect()}
     assert outer == {(1, (), 1, "1"), (1, (), 2, None)}
+
+
+def test_stream_reads_what_json_reads():
+    rng = random.Random(3)
+
+    def made(depth):
+        kind = rng.randrange(8 if depth < 5 else 5)
+        if kind < 5:
+            return [None, True, rng.randint(-9, 99), rng.random() * 1e6, rng.choice(["", "ü\n\"x", "[1, 2", '{"k": [1]}', "[]"])][kind]
+        return {rng.choice("abc.["): made(depth + 1) for _ in range(rng.randrange(4))} if kind < 7 else [made(depth + 1) for _ in range(rng.randrange(4))]
+
+    def leaves(v):
+        if isinstance(v, str) and v[:1] in ("{", "["):
+            try:
+                v = json.loads(v)
+            except ValueError:
+                pass
+        if isinstance(v, (dict, list)):
+            return [type(v)()] + [x for y in (v.values() if isinstance(v, dict) else v) for x in leaves(y)]
+        return [v]
+
+    for _ in range(300):
+        value = made(0)
+        text = json.dumps(value, indent=rng.choice([None, 1]))
+        assert [v for _, v in triples(text)] == leaves(value)
+        broken = text[: rng.randrange(len(text))] + rng.choice(["", "]", "}", ",", '"', "x"])
+        try:
+            json.loads(broken)
+        except ValueError:
+            assert triples(broken) == []
+    for bad in ("[1,]", '{"a":1,}', '{"a" 1}', "1 2", "-", "01", "[1 2]", "{1: 2}", "'a'"):
+        assert triples(bad) == []
+
+
+def test_deep_records():
+    n = 50_000
+    assert triples("[" * n) == [] and len(triples("[" * n + "]" * n)) == n and len(triples('{"a":"' + "[" * n + '"}')) == 2
+    deep = '{"final_locations":' + '{"entities":' * n + "1" + "}" * (n + 1)
+    assert len(nested_rows(triples(deep), **SHAPE)) == n - 1
+
+
+def test_shred_struct(spark):
+    """Null arrays, structs and elements; names with dots; arrays of values; the link is all ordinals but the last."""
+    schema = "k long, v struct<a: array<struct<b: int, c: array<string>, `d.e`: struct<f: int>>>, g: string>"
+    rows = [(1, ([(5, ["x", None, "y"], (7,)), None, (None, None, None)], "g")), (2, (None, None)), (3, None)]
+    t = shred_struct(spark.createDataFrame(rows, schema), "k", "v")
+    got = {name: {tuple(r) for r in df.collect()} for name, df in t.items()}
+    assert got == {"": {(1, "g"), (2, None), (3, None)}, "a[]": {(1, 1, 5, 7), (1, 2, None, None)}, "a[].c[]": {(1, 1, 1, "x"), (1, 1, 2, "y")}}
+    assert t["a[]"].columns == ["rec_id", "ord_1", "b", r"d\.e.f"]
