@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from codestrata.functions import text as T
 from codestrata.operators import clustering as C
+from codestrata.operators.numbering import number_in_order
 from codestrata.plans import base as B
 from codestrata.plans.catalog import query
 from codestrata.plans.retrieval import VEC, _vectors
@@ -141,7 +142,5 @@ def identifier_links(s, d):
 @query(f"""WITH {B.METHODS} SELECT CAST(dense_rank() OVER (ORDER BY func_file) AS BIGINT) AS feature, func_file, CAST(count(*) AS BIGINT) AS members, min(id) AS first FROM meth WHERE func_file IS NOT NULL GROUP BY func_file""")
 def feature_ids(s, d):
     """Numbered groups of methods; the groups, not the methods, are numbered."""
-    from pyspark.sql.window import Window
-
     g = B.methods(s, d, "func_file").where("func_file is not null").groupBy("func_file").agg(F.count("*").alias("members"), F.min("id").alias("first"))
-    return g.select(F.dense_rank().over(Window.orderBy("func_file")).cast("long").alias("feature"), "func_file", "members", "first")
+    return number_in_order(g, ["func_file"], "feature").select("feature", "func_file", "members", "first")
