@@ -2,7 +2,7 @@
 
 import itertools
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -167,3 +167,58 @@ def test_pairs_kept_together(spark):
     assert rows(splits.pairs_kept_together(splits.link_components(df, ["a", "b"]))) == {("p", "q"), ("p", "r"), ("q", "r")}
     assert splits.link_components(df.limit(0), ["a", "b"]).count() == 0
     assert F is not None
+
+
+def one_by_one(units, proportions):
+    """Iterative stratification as its definition says it, a unit at a time."""
+    left, need = {}, {}
+    for counts in units.values():
+        for x, n in counts.items():
+            left[x] = left.get(x, 0) + n
+    need = {x: [p * n for p in proportions.values()] for x, n in left.items()}
+    total, names, out = [p * sum(left.values()) for p in proportions.values()], list(proportions), {}
+    while any(left.values()):
+        label = min((x for x in left if left[x] > 0), key=lambda x: (left[x], x))
+        free = [u for u in units if u not in out and label in units[u]]
+        for u in sorted(free, key=lambda u: (-units[u][label], -sum(units[u].values()), tuple(sorted(units[u].items())))):
+            s = max(range(len(names)), key=lambda s: (round(need[label][s], 6), round(total[s], 6), -s))
+            out[u] = names[s]
+            for x, n in units[u].items():
+                need[x][s] -= n
+                total[s] -= n
+                left[x] -= n
+    return out
+
+
+def test_placement_of_runs_is_that_of_units():
+    rng = random.Random(8)
+    for _ in range(60):
+        kinds = [{f"l{rng.randrange(30)}": rng.randint(1, 9) for _ in range(rng.randint(1, 4))} for _ in range(rng.randint(1, 12))]
+        units = {f"u{i}": rng.choice(kinds) for i in range(rng.randint(0, 300))}
+        p = rng.choice([{"a": 0.8, "b": 0.1, "c": 0.1}, {"a": 0.5, "b": 0.5}, {"a": 0.6, "b": 0.25, "c": 0.1, "d": 0.05}])
+        many = lambda placed: Counter((tuple(sorted(units[u].items())), s) for u, s in placed.items())
+        assert many(splits.place(units, p)) == many(one_by_one(units, p))
+
+
+def test_splits_of_many_labels(spark):
+    """200 rare labels in single records and one that all share: every label keeps its proportions."""
+    rng = random.Random(3)
+    data = [(i, f"rare{i % 200}" if i < 4000 else "common", f"p{i}", None) for i in range(12_000)] + [(20_000 + i, "common", "big", "x") for i in range(500)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "id long, label string, a string, b string")
+    placed = splits.grouped_splits(df, ["a", "b"])
+    share = {(r.label, r.split): r.records for r in splits.label_shares(df, placed).collect()}
+    assert all((share[f"rare{i}", "train"], share[f"rare{i}", "validation"], share[f"rare{i}", "test"]) == (16, 2, 2) for i in range(200))
+    assert abs(share["common", "train"] - 6800) <= 1 and abs(share["common", "test"] - 850) <= 1
+
+
+def test_splits_in_bundles(spark):
+    """More different label vectors than the driver may hold: small components are placed in bundles, large ones by themselves."""
+    rng = random.Random(4)
+    sizes = [rng.randint(1, 40) for _ in range(600)] + [2000]
+    data = [(c * 10_000 + i, rng.choice("fmx"), f"p{c}", None) for c, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(data, "id long, label string, a string, b string")
+    placed = splits.grouped_splits(df, ["a", "b"], most=300).collect()
+    assert len(placed) == len(data) and len({(r.component, r.split) for r in placed}) == len(sizes)
+    share = {s: n / len(data) for s, n in Counter(r.split for r in placed).items()}
+    assert share == pytest.approx({"train": 0.8, "validation": 0.1, "test": 0.1}, abs=0.02)
