@@ -53,6 +53,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return cells.where("shortfall > 0").select("domain", "type")
 
 
+def p3_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Quota, drawn rows and shortfall of every cell of the targets."""
+    return sampling.report(_cells(spark, folder), table(spark, folder, "sample_targets"))
+
+
 def p3_sample(spark: SparkSession, folder: str) -> DataFrame:
     drawn = sampling.sample_to_targets(_cells(spark, folder), table(spark, folder, "sample_targets"))
     return drawn.withColumnRenamed("id", "example_id")
@@ -89,4 +94,10 @@ def p7_split(spark: SparkSession, folder: str) -> DataFrame:
     return splits.grouped_splits(_links(spark, folder), ["project", "package"]).withColumnRenamed("id", "example_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_extent": p2_extent, "p3_found": p3_found, "p3_sample": p3_sample, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_split": p7_split}
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tasks of each type lie over the splits."""
+    rows = _links(spark, folder)
+    return splits.label_shares(rows, splits.grouped_splits(rows, ["project", "package"]))
+
+
+QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_extent": p2_extent, "p3_found": p3_found, "p3_sample": p3_sample, "p3_report": p3_report, "p6_found": p6_found, "p6_groups": p6_groups, "p7_found": p7_found, "p7_split": p7_split, "p7_shares": p7_shares}

@@ -3,6 +3,9 @@
 Categories are counted; integer quotas are allocated by largest remainder, raised to the floor of small
 categories and capped by what there is; the rows with the smallest random keys of each category are drawn; shortfalls are reported.
 Only the counts of the target categories, as many as the target table has, reach the driver.
+
+The draw is one plan: the records that count are written once; the counts, the allocation, the thresholds of the keys and the report
+all come from that table.
 """
 
 from __future__ import annotations
@@ -12,8 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from codestrata.session import cut
+
 CELL = ["domain", "type"]
-BINS = 4096
+BITS = 12  # of the key that one level of the histogram resolves
+RANKED = 100_000  # rows that may be ranked in one bin
 
 
 def cells_of(tasks: DataFrame) -> DataFrame:
@@ -61,33 +67,62 @@ def allocate(cells: list[dict]) -> list[dict]:
     return [c | {"quota": q} for c, q in zip(cells, quota)]
 
 
-def report(tasks: DataFrame, targets: DataFrame) -> DataFrame:
-    """(domain, type, wanted, available, shortfall) of every target cell; the counts are pre-aggregated before
-    the shuffle."""
-    counts = cells_of(tasks).groupBy(*CELL).agg(F.count("*").alias("available"))
-    joined = demand(targets).join(counts, CELL, "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
-    return joined.withColumn("shortfall", F.greatest(F.lit(0).cast("long"), F.col("wanted") - F.col("available")))
+QUOTAS = T.StructType([*(T.StructField(c, T.StringType()) for c in CELL), *(T.StructField(c, T.LongType()) for c in ("wanted", "available", "quota"))])
+
+
+def _demand_and_supply(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """The target cells with ``available``; the counts are pre-aggregated before the shuffle."""
+    counts = cells.groupBy(*CELL).agg(F.count("*").alias("available"))
+    return demand(targets).join(counts, CELL, "left").withColumn("available", F.coalesce("available", F.lit(0).cast("long")))
+
+
+def allocated(cells: DataFrame, targets: DataFrame) -> DataFrame:
+    """(domain, type, wanted, available, quota) of every target cell, allocated to the counts of ``cells``."""
+    quotas = allocate([r.asDict() for r in _demand_and_supply(cells, targets).orderBy(*CELL).collect()])  # as many as targets
+    return cells.sparkSession.createDataFrame([tuple(c[f.name] for f in QUOTAS) for c in quotas], QUOTAS)
+
+
+def draw(tasks: DataFrame, targets: DataFrame, seed: int = 7, ranked: int = RANKED) -> tuple[DataFrame, DataFrame]:
+    """The sample (id, domain, type), and its report (domain, type, wanted, available, quota, drawn, shortfall): the quota of every target
+    cell, what was drawn for it, and what it lacks of ``wanted`` because there are no more records.
+
+    Of each cell the rows with the smallest keys (a hash of id and ``seed``) are taken. A histogram of the leading bits of the keys finds
+    the bin in which the quota ends; its rows are counted by the next bits, until the bin has at most ``ranked`` rows or all 64 bits are
+    used. Rows below are kept by a filter, and only the last bin is ranked."""
+    cells = cut(cells_of(tasks).withColumn("key", F.xxhash64("id", F.lit(seed))), "cells")
+    quotas = allocated(cells, targets)
+    # Cells whose quota takes all or nothing need no threshold.
+    open_ = quotas.where("quota > 0 and quota < available").select(*CELL, F.col("quota").alias("rest"), F.lit(0).cast("long").alias("prefix"))
+    most, level = ranked + 1, 0
+    edges = cut(open_, "edges")
+    while most > ranked and (level + 1) * BITS <= 60:
+        shift = 64 - BITS * (level + 1)
+        of = F.shiftrightunsigned("key", shift)
+        inner = cells.join(F.broadcast(edges), CELL)  # no more cells than targets
+        if level:
+            inner = inner.where(F.shiftrightunsigned("key", shift + BITS) == F.col("prefix"))
+        bins = inner.groupBy(*CELL, "rest", of.alias("bin")).agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*CELL).orderBy("bin"))  # 2^BITS bins a cell
+        at = bins.withColumn("upto", upto).where("upto >= rest and upto - n < rest")
+        edges = cut(at.select(*CELL, (F.col("rest") - F.col("upto") + F.col("n")).alias("rest"), F.col("bin").alias("prefix"), "n"), "edges")
+        most, level = edges.agg(F.max("n")).first()[0] or 0, level + 1
+        edges = edges.drop("n")
+    bin_ = F.shiftrightunsigned("key", 64 - BITS * level)
+    placed = cells.join(F.broadcast(quotas.select(*CELL, "quota", "available").where("quota > 0")), CELL).join(F.broadcast(edges), CELL, "left")
+    inside = placed.where((F.col("quota") == F.col("available")) | (bin_ < F.col("prefix")))
+    rank = F.row_number().over(Window.partitionBy(*CELL).orderBy("key", "id"))
+    last = placed.where((F.col("quota") < F.col("available")) & (bin_ == F.col("prefix"))).withColumn("rank", rank).where("rank <= rest")
+    sample = cut(inside.select("id", *CELL).unionByName(last.select("id", *CELL)), "sample")
+    drawn = sample.groupBy(*CELL).agg(F.count("*").alias("drawn"))
+    report = quotas.join(drawn, CELL, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("long")))
+    return sample, report.withColumn("shortfall", F.greatest(F.lit(0).cast("long"), F.col("wanted") - F.col("available")))
 
 
-QUOTAS = T.StructType([T.StructField("domain", T.StringType()), T.StructField("type", T.StringType()), T.StructField("quota", T.LongType())])
+def report(tasks: DataFrame, targets: DataFrame) -> DataFrame:
+    """(domain, type, wanted, available, quota, drawn, shortfall) of every target cell, from the draw."""
+    return draw(tasks, targets)[1]
 
 
 def sample_to_targets(tasks: DataFrame, targets: DataFrame, seed: int = 7) -> DataFrame:
-    """(id, domain, type) of the sample. Of each cell the rows with the smallest keys (a hash of id and ``seed``) are
-    taken: a histogram of the keys finds the bin in which the quota ends, rows below it are kept by a
-    filter, and only that bin, a 4096th of the cell, is ranked."""
-    spark = tasks.sparkSession
-    cells = cells_of(tasks)
-    quotas = allocate([r.asDict() for r in report(tasks, targets).orderBy(*CELL).collect()])
-    wanted = spark.createDataFrame([(c["domain"], c["type"], c["quota"]) for c in quotas], QUOTAS)
-    keyed = cells.join(F.broadcast(wanted.where("quota > 0")), CELL).withColumn("key", F.xxhash64("id", F.lit(seed)))
-    keyed = keyed.withColumn("bin", F.shiftrightunsigned("key", 52).cast("int"))
-    bins = keyed.groupBy(*CELL, "quota", "bin").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy(*CELL).orderBy("bin"))
-    edge = bins.withColumn("before", upto - F.col("n")).where("before < quota and before + n >= quota").select(*CELL, F.col("bin").alias("edge"), "before")
-    whole = bins.groupBy(*CELL).agg(F.sum("n").alias("n")).join(edge, CELL, "left").select(*CELL, F.coalesce("edge", F.lit(BINS)).alias("edge"), F.coalesce("before", "n").alias("before"))
-    placed = keyed.join(F.broadcast(whole), CELL)
-    inside = placed.where("bin < edge")
-    rank = F.row_number().over(Window.partitionBy(*CELL).orderBy(F.col("key"), F.col("id")))
-    last = placed.where("bin = edge").withColumn("rank", rank).where("before + rank <= quota")
-    return inside.select("id", *CELL).unionByName(last.select("id", *CELL))
+    """(id, domain, type) of the sample."""
+    return draw(tasks, targets, seed)[0]

@@ -50,6 +50,10 @@ def test_sample(spark):
     again = {r.id for r in sampling.sample_to_targets(tasks.orderBy("id"), targets).collect()}
     assert again == {r.id for r in got}
     assert sampling.sample_to_targets(tasks.limit(0), targets).count() == 0
+    drawn = {r.domain: (r.quota, r.drawn) for r in sampling.report(tasks, targets).collect()}
+    assert drawn == {"a": (170, 170), "b": (30, 30), "c": (0, 0)}
+    for ranked in (1, 10, 10**6):  # several levels of the histogram, or one
+        assert {r.id for r in sampling.draw(tasks, targets, ranked=ranked)[0].collect()} == {r.id for r in got}
 
 
 @pytest.mark.parametrize("capacity", [10, 64, 500])
