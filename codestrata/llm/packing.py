@@ -1,8 +1,12 @@
 """Filling containers of fixed capacity with items (problem 8): hierarchical multi-length packing.
 
-Documents are routed to tiers of context size (the capacity and its halves), each tier is packed, longest first, by
-best fit, and the gaps of the longer windows are filled from the shorter tiers. Containers are then dealt to
-step groups of about equal size.
+Documents are routed to tiers of context size: tier t takes those above half of its window, which is the capacity halved t times
+(the last tier takes all shorter ones). Each tier is packed by itself, longest first: a container of tier t is 2^t
+windows of that tier, each begun with one of its documents. What the windows leave free is pooled in their container and
+filled with the largest documents that fit, from the shorter tiers and from what is left of the tier, by best
+fit. Containers are opened in rounds, half of what the tier still needs at a time, so that there are documents left to fill
+the gaps of each round. Containers are then dealt to step groups of the same number of containers, by tier and
+fill back and forth, so that the steps have about the same number of tokens.
 
 Items of one size are alike, so the packing runs on the histogram of sizes, which has at most as many entries as the
 capacity: its outcome is a list of rules "items number j to j + n of size s go to containers a to a + n". The rows find
@@ -12,7 +16,7 @@ pieces, each filling a container, and the rest.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -20,13 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from codestrata.operators.numbering import number_within
 from codestrata.session import cut
 
 TIERS = 4
 GROUP = 8  # containers a step
-BUCKETS = 64
 
 
 def tier_of(size: int, capacity: int) -> int:
@@ -37,64 +40,112 @@ def tier_of(size: int, capacity: int) -> int:
     return t
 
 
-def pack_histogram(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
-    """Rules (size, first item, containers, first container, items a container) as 5-tuples, and the ranges of
-    like containers (first container, containers, room, tier), for sizes of 1 to ``capacity``."""
-    open_: dict[int, list[tuple[int, int, int]]] = defaultdict(list)  # room -> (first, n, tier)
-    rooms: list[int] = []
-    rules, next_ = [], 0
-
-    def put(first: int, n: int, room: int, tier: int) -> None:
-        if not open_[room]:
-            insort(rooms, room)
-        open_[room].append((first, n, tier))
-
-    for size in sorted(counts, reverse=True):
-        left, item = counts[size], 0
-        tier = tier_of(size, capacity)
-        while left:
-            i = bisect_left(rooms, size)
-            if i < len(rooms):  # the tightest room that fits
-                room = rooms[i]
-                first, n, t = open_[room].pop()
-                if not open_[room]:
-                    rooms.pop(i)
+class _Packer:
+    """Packing of one histogram. Like containers are kept as ranges (first container, how many) by the room they have."""
+
+    def __init__(self, counts: dict[int, int], capacity: int):
+        self.capacity = capacity
+        self.left = {s: n for s, n in counts.items() if n}
+        self.taken = dict.fromkeys(self.left, 0)
+        self.open: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.rooms: list[int] = []
+        self.rules: list[tuple[int, int, int, int, int]] = []
+        self.tiers: list[tuple[int, int]] = []  # first container of a round, tier
+        self.next = 0
+
+    def take(self, size: int, containers: int, first: int, each: int) -> None:
+        self.rules.append((size, self.taken[size], containers, first, each))
+        self.taken[size] += containers * each
+        self.left[size] -= containers * each
+        if not self.left[size]:
+            del self.left[size]
+
+    def put(self, first: int, n: int, room: int) -> None:
+        if n:
+            if not self.open[room]:
+                insort(self.rooms, room)
+            self.open[room].append((first, n))
+
+    def begin(self, tier: int, sizes: list[int], containers: int) -> None:
+        """Open that many containers, or as many as the documents of the tier suffice for, with a document in each window."""
+        self.tiers.append((self.next, tier))
+        windows, part, used = 1 << tier, 0, 0  # windows begun in the last container, and its tokens
+        end = self.next + containers
+        for size in sizes:
+            if part:
+                n = min(self.left[size], windows - part)
+                self.take(size, 1, self.next, n)
+                part, used = part + n, used + n * size
+                if part < windows:
+                    continue
+                self.put(self.next, 1, self.capacity - used)
+                self.next, part, used = self.next + 1, 0, 0
+            if self.next == end:
+                break
+            m = min(self.left.get(size, 0) // windows, end - self.next)
+            if m:
+                self.take(size, m, self.next, windows)
+                self.put(self.next, m, self.capacity - windows * size)
+                self.next += m
+            if self.next == end:
+                break
+            if n := self.left.get(size, 0):
+                self.take(size, 1, self.next, n)
+                part, used = n, n * size
+        if part:
+            self.put(self.next, 1, self.capacity - used)
+            self.next += 1
+
+    def fill(self, sizes: list[int]) -> None:
+        """Fill the rooms, largest documents first, each into the tightest room that takes it."""
+        for size in sizes:
+            while (left := self.left.get(size, 0)) and (i := bisect_left(self.rooms, size)) < len(self.rooms):
+                room = self.rooms[i]
+                first, n = self.open[room].pop()
+                if not self.open[room]:
+                    self.rooms.pop(i)
                 each = min(room // size, left)
                 m = min(n, left // each)
-                rules.append((size, item, m, first, each))
-                if m < n:
-                    put(first + m, n - m, room, t)
-                put(first, m, room - each * size, t)
-            else:
-                each = min(capacity // size, left)
-                m = left // each
-                rules.append((size, item, m, next_, each))
-                put(next_, m, capacity - each * size, tier)
-                next_ += m
-            left -= m * each
-            item += m * each
-    return rules, sorted((first, n, room, t) for room, ranges in open_.items() for first, n, t in ranges)
+                self.take(size, m, first, each)
+                self.put(first + m, n - m, room)
+                self.put(first, m, room - each * size)
+
+    def run(self) -> None:
+        for tier in range(TIERS):
+            while own := sorted((s for s in self.left if tier_of(s, self.capacity) == tier), reverse=True):
+                shorter = sorted((s for s in self.left if tier_of(s, self.capacity) >= tier), reverse=True)
+                needed = sum(s * self.left[s] for s in own) / self.capacity
+                containers = sum(self.left[s] for s in own) if tier == 0 else max(1, int(needed / 2))
+                self.begin(tier, own, containers)
+                self.fill(shorter)
+
+
+def pack_histogram(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int, int]]]:
+    """Rules (size, first item, containers, first container, items a container), and the ranges of
+    like containers (first container, containers, room, tier), for sizes of 1 to ``capacity``."""
+    p = _Packer(counts, capacity)
+    p.run()
+    ranges = sorted((first, n, room) for room, held in p.open.items() for first, n in held)
+    begun = [first for first, _ in p.tiers]
+    return p.rules, [(first, n, room, p.tiers[bisect_right(begun, first) - 1][1]) for first, n, room in ranges]
 
 
 def pack_documents(tokens: DataFrame, plans: dict[str, int]) -> DataFrame:
     """(plan, doc_id, piece, first_token, tokens, tier, container, step) for documents (id, tokens), under every plan
     (name -> capacity, a positive number). ``first_token`` counts from 0, pieces from 1; documents without
-    tokens are in no container; repeated rows are one document. Steps number groups of ``GROUP`` containers of
-    one tier or fewer, so that each has about the same number of tokens."""
+    tokens are in no container; repeated rows are one document. Steps number groups of ``GROUP`` containers or one
+    less, of about the same number of tokens each."""
     items = tokens.where("tokens > 0").select("id", "tokens").distinct()
     plan_rows = tokens.sparkSession.createDataFrame(list(plans.items()), "plan string, capacity long")
     both = items.crossJoin(F.broadcast(plan_rows))  # a few plans
     pieces = both.select("plan", "id", "capacity", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("div(tokens - 1, capacity)"))).alias("k"))
-    pieces = pieces.select("plan", "id", "k", (F.col("k") * F.col("capacity")).alias("first_token"), F.least("capacity", F.col("tokens") - F.col("k") * F.col("capacity")).alias("size"), F.pmod(F.xxhash64("id", "k"), F.lit(BUCKETS)).alias("bucket"))
+    pieces = pieces.select("plan", "id", "k", (F.col("k") * F.col("capacity")).alias("first_token"), F.least("capacity", F.col("tokens") - F.col("k") * F.col("capacity")).alias("size"))
     pieces = cut(pieces, "pieces")
-    counts = cut(pieces.groupBy("plan", "size", "bucket").agg(F.count("*").alias("n")), "sizes")
-    before = F.sum("n").over(Window.partitionBy("plan", "size").orderBy("bucket")) - F.col("n")
-    numbered = pieces.join(counts.withColumn("before", before).drop("n"), ["plan", "size", "bucket"])
-    place = F.row_number().over(Window.partitionBy("plan", "size", "bucket").orderBy("id", "k")) - 1
-    numbered = numbered.withColumn("item", F.col("before") + place)
+    counts = pieces.groupBy("plan", "size").agg(F.count("*").alias("n"))
+    numbered = number_within(pieces, ["plan", "size"], ["id", "k"], "item")
 
     histogram: dict[str, dict[int, int]] = {p: {} for p in plans}
-    for r in counts.groupBy("plan", "size").agg(F.sum("n").alias("n")).collect():  # at most the sum of the capacities
+    for r in counts.collect():  # at most the sum of the capacities
         histogram[r["plan"]][r["size"]] = r["n"]
     tables = {p: _tables(*pack_histogram(h, plans[p]), plans[p]) for p, h in histogram.items()}
 
@@ -117,17 +168,10 @@ def pack_documents(tokens: DataFrame, plans: dict[str, int]) -> DataFrame:
 def _tables(rules: list, ranges: list, capacity: int) -> dict:
     r = np.array(sorted(rules), np.int64).reshape(-1, 5)
     g = np.array(ranges, np.int64).reshape(-1, 4)
-    # Containers of a tier in the order of their fill, dealt to its steps back and forth.
-    step_base, places, steps = 0, np.zeros(len(g), np.int64), np.zeros((len(g), 2), np.int64)
-    for t in range(TIERS):
-        at = np.flatnonzero(g[:, 3] == t)
-        at = at[np.argsort(g[at, 2], kind="stable")]
-        n = int(g[at, 1].sum())
-        if n:
-            places[at] = np.cumsum(g[at, 1]) - g[at, 1]
-            steps[at] = step_base, -(-n // GROUP)
-            step_base += -(-n // GROUP)
-    return {"rules": r, "key": r[:, 0] * (1 << 44) + r[:, 1], "ranges": g, "places": places, "steps": steps}
+    places = np.zeros(len(g), np.int64)
+    at = np.lexsort((g[:, 2], g[:, 3]))  # by tier, then by room
+    places[at] = np.cumsum(g[at, 1]) - g[at, 1]
+    return {"rules": r, "key": r[:, 0] * (1 << 44) + r[:, 1], "ranges": g, "places": places, "steps": -(-int(g[:, 1].sum()) // GROUP)}
 
 
 def _find(t: dict, size: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -135,9 +179,8 @@ def _find(t: dict, size: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.n
     container = r[:, 3] + (item - r[:, 1]) // r[:, 4]
     g = np.searchsorted(t["ranges"][:, 0], container, side="right") - 1
     place = t["places"][g] + container - t["ranges"][g, 0]
-    base, n = t["steps"][g, 0], t["steps"][g, 1]
-    turn, at = place // n, place % n
-    return container, t["ranges"][g, 3], base + np.where(turn % 2 == 0, at, n - 1 - at)
+    turn, at = np.divmod(place, t["steps"])
+    return container, t["ranges"][g, 3], np.where(turn % 2 == 0, at, t["steps"] - 1 - at)
 
 
 def fill(packed: DataFrame, plans: DataFrame) -> DataFrame:
@@ -145,3 +188,9 @@ def fill(packed: DataFrame, plans: DataFrame) -> DataFrame:
     held = packed.groupBy("plan", "container").agg(F.sum("tokens").alias("t")).groupBy("plan").agg(F.count("*").alias("containers"), F.sum("t").alias("tokens"))
     n, t = F.coalesce("containers", F.lit(0)), F.coalesce("tokens", F.lit(0))
     return plans.join(held, "plan", "left").select("plan", F.col("capacity_tokens").cast("long").alias("capacity_tokens"), n.alias("containers"), t.alias("tokens"), F.round(F.coalesce(F.try_divide(t.cast("double"), n * F.col("capacity_tokens")), F.lit(0.0)), 6).alias("fill"))
+
+
+def steps(packed: DataFrame) -> DataFrame:
+    """(plan, steps, containers_least, containers_most, tokens_least, tokens_most): how evenly the steps of a plan are filled."""
+    each = packed.groupBy("plan", "step").agg(F.count_distinct("container").alias("c"), F.sum("tokens").alias("t"))
+    return each.groupBy("plan").agg(F.count("*").alias("steps"), F.min("c").alias("containers_least"), F.max("c").alias("containers_most"), F.min("t").alias("tokens_least"), F.max("t").alias("tokens_most"))

@@ -28,6 +28,10 @@ def p8_fill(spark: SparkSession, folder: str, tokenizers: str = FOLDER) -> DataF
     return packing.fill(_packed(spark, folder, tokenizers), table(spark, folder, "pack_plans"))
 
 
+def p8_steps(spark: SparkSession, folder: str, tokenizers: str = FOLDER) -> DataFrame:
+    return packing.steps(_packed(spark, folder, tokenizers))
+
+
 def p9_mix(spark: SparkSession, folder: str, tokenizers: str = FOLDER) -> DataFrame:
     return mixing.mix(_counted(spark, folder, tokenizers, "source"), table(spark, folder, "mix_targets"))[0]
 
@@ -54,4 +58,4 @@ def p10_figures(spark: SparkSession, folder: str) -> DataFrame:
     return quality.figures(_documents(spark, folder), words).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_labels": p10_labels, "p10_figures": p10_figures}
+QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill, "p8_steps": p8_steps, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_labels": p10_labels, "p10_figures": p10_figures}

@@ -73,6 +73,51 @@ def test_packing(spark, capacity):
     assert sorted(got.container.unique()) == list(range(got.container.nunique()))
 
 
+def packed_by(counts, capacity):
+    """Tokens of each container by the rules, every item placed once; and the tier of each."""
+    rules, ranges = packing.pack_histogram(counts, capacity)
+    used, tier, taken = {}, {}, dict.fromkeys(counts, 0)
+    for size, item, m, first, each in rules:
+        assert item == taken[size]
+        taken[size] += m * each
+        for c in range(first, first + m):
+            used[c] = used.get(c, 0) + size * each
+    assert taken == counts
+    for first, m, room, t in ranges:
+        for c in range(first, first + m):
+            tier[c] = t
+            assert used[c] + room == capacity
+    return used, tier
+
+
+def test_packing_tiers():
+    """Short documents alone make containers of the last tier; with long ones they fill their gaps first."""
+    used, tier = packed_by({20: 500, 90: 400, 150: 90}, 2048)
+    assert set(tier.values()) == {3} and len(used) == -(-(20 * 500 + 90 * 400 + 150 * 90) // 2048)
+    used, tier = packed_by({1500: 40, 700: 30, 548: 30, 100: 300}, 2048)
+    assert Counter(tier.values())[0] == 40 and len(used) == 63  # the tokens fill 62.2
+    used, tier = packed_by({204: 5000}, 2048)
+    assert len(used) == 500
+    used, _ = packed_by({300: 6 * 10**4, 7: 5000}, 2048)
+    assert len(used) == 10**4  # as many as without the short ones
+    rng = random.Random(6)
+    for _ in range(40):
+        capacity = rng.randint(8, 300)
+        counts = {rng.randint(1, capacity): rng.randint(1, 40) for _ in range(rng.randint(1, 25))}
+        used, tier = packed_by(counts, capacity)
+        assert sorted(used) == list(range(len(used))) and max(used.values()) <= capacity
+        assert sum(t == 0 for t in tier.values()) == sum(n for s, n in counts.items() if s > capacity // 2)
+
+
+def test_packing_steps(spark):
+    rng = random.Random(1)
+    docs = spark.createDataFrame([(i, rng.choice([rng.randint(1, 90), rng.randint(100, 900), rng.randint(1000, 3000)])) for i in range(3000)], "id long, tokens long")
+    got = packing.pack_documents(docs, {"p": 2048})
+    s = packing.steps(got).first()
+    assert s.containers_most <= packing.GROUP and s.containers_least >= s.containers_most - 1
+    assert s.tokens_most - s.tokens_least <= 1.01 * 2048
+
+
 def test_packing_empty(spark):
     none = packing.pack_documents(spark.createDataFrame([], "id long, tokens long"), {"p": 5})
     plans = spark.createDataFrame([("p", 5)], "plan string, capacity_tokens int")
