@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codestrata.functions import code as K
+from codestrata.functions import repairs as R
+from codestrata.functions import snippets as K
+from codestrata.functions.answers import largest_json_udf
 from codestrata.functions import text as T
 from codestrata.plans import base as B
 from codestrata.plans.catalog import query
@@ -90,13 +92,13 @@ def json_and_time(s, d):
 def mccabe_token_len(s, d):
     """Complexity and token length of every method, with its rendered signature."""
     m = B.methods(s, d, "method_code")
-    return m.select("id", K.complexity_udf("method_code").alias("complexity"), K.token_length_udf("method_code").alias("tokens"), K.signature_udf("method_code").alias("signature"))
+    return m.select("id", K.facts("method_code", "complexity", "tokens", "signature").alias("f")).select("id", "f.*")
 
 
 @query()
 def complexity_summary(s, d):
     """Mean, median, 90th percentile and maximum of the complexity by file, and the share that does not parse."""
-    m = B.methods(s, d, "func_file", "method_code").withColumn("c", K.complexity_udf("method_code"))
+    m = B.methods(s, d, "func_file", "method_code").select("func_file", K.facts("method_code", "complexity").alias("f")).withColumn("c", F.col("f.complexity"))
     q = F.percentile("c", F.array(F.lit(0.5), F.lit(0.9)))
     g = m.groupBy("func_file").agg(F.count("*").alias("n"), F.round(F.avg("c"), 6).alias("mean"), q.alias("q"), F.max("c").alias("most"), F.round(F.count_if(F.col("c").isNull()) / F.count("*"), 6).alias("failed"))
     return g.select("func_file", "n", "mean", F.round(F.col("q")[0], 6).alias("median"), F.round(F.col("q")[1], 6).alias("p90"), "most", "failed")
@@ -105,11 +107,11 @@ def complexity_summary(s, d):
 @query()
 def code_notes(s, d):
     """Docstrings and comments of every method, and its skeleton."""
-    return B.methods(s, d, "method_code").select("id", K.notes_udf("method_code").alias("notes"), K.skeleton_udf("method_code").alias("skeleton"))
+    return B.methods(s, d, "method_code").select("id", K.facts("method_code", "notes", "skeleton").alias("f")).select("id", "f.*")
 
 
 @query()
 def source_entities(s, d):
     """Entities of every method's code, taken as a source file of its own."""
     m = B.methods(s, d, "func_file", "method_code").where("func_file is not null and method_code is not null")
-    return m.select("id", F.explode(K.entities_udf("func_file", F.regexp_replace("method_code", r"(?m)^    ", ""))).alias("e")).select("id", "e.*")
+    return m.select("id", F.explode(K.entities("func_file", F.regexp_replace("method_code", r"(?m)^    ", ""))).alias("e")).select("id", "e.*")
