@@ -1,16 +1,24 @@
 """Near-duplicate records with small edits (problem 6), by token-combination prefixes.
 
 A record's tokens are its word shingles. They are ordered by rarity (document frequency, then hash) and put into
-classes: rare tokens are posted alone, frequent ones, in ``CLASSES`` classes by hash, only in pairs of one class. The
+classes: rare tokens are posted alone, frequent ones only in pairs of one class, classes being made by hash. The
 prefix is extended until it holds more tokens than a partner above the threshold can lack, counted by class: if no
 pair were shared, at most one token of each class of frequent ones could be. So two similar records share a
-signature, while frequent tokens never make a posting list of their own; and as pairs form within a class only, a
-record whose tokens are all frequent, one of a hot group of near copies, still posts few. Candidates pass a size filter and a bitmap bound of the overlap and
+signature, while frequent tokens never make a posting list of their own.
+
+The number of classes follows the size of the set, (1 - threshold) times the size read down to a power of two, so a record posts
+signatures in proportion to its length, not to its square. Both of a pair must count by the same classes: those of the shorter one's
+grade. A record therefore posts under its own grade and, where a shorter partner may be of a grade below, under that as well. Where
+one common token can be all that two sets need (sets of one token, at thresholds above one half), no combination
+exists: these post the single tokens of the plain prefix.
+
+Candidates pass a size filter and a bitmap bound of the overlap and
 are verified exactly on their texts. Groups are the components of the verified links.
 
 Equal texts are one class from the start. A posting list with more than ``ALL_PAIRS`` classes is linked by a chain and a star first;
 pairs of its members that are in different components then are tried as well, so no link that could join
-two groups is left out, and a hot group of near copies costs as much as its members.
+two groups is left out. In such a list the members outside its largest component meet all others, in blocks of ``BLOCK`` by
+``BLOCK``, so that no task holds the list; a hot group of near copies, which is that component, costs as much as its members.
 
 Defined cases: a null text is empty; texts with fewer than ``least_words`` words are in no group; repeated rows
 are one record.
@@ -24,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.functions.text import WORD
@@ -34,9 +42,10 @@ from codestrata.session import cut
 
 BATCH_CHARS = 4_000_000
 RARE = 48  # most records with a token that is posted alone
-CLASSES = 16  # of frequent tokens
 ALL_PAIRS = 96
+BLOCK = 2000
 POSTINGS_A_RANGE = 400_000
+POSTINGS_A_CHAR = 0.3  # at the most, in texts of words
 BITS = 128
 
 _WORDS = re.compile(r"\w+")
@@ -84,38 +93,55 @@ def short(h: np.ndarray) -> np.ndarray:
     return h >> U(16) << U(16)
 
 
+def grade(n: np.ndarray) -> np.ndarray:
+    """Whole binary logarithm."""
+    return np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+
+
+def classes_of(grades: np.ndarray, threshold: float) -> np.ndarray:
+    """Classes of frequent tokens in sets of 2^grade tokens or more: fewer than the tokens that two of them must share."""
+    size = np.exp2(grades)
+    return np.maximum(1, np.minimum(np.rint((1 - threshold) * size), np.ceil(threshold * size - 1e-9) - 1)).astype(np.int64)
+
+
 def signatures(rec: np.ndarray, h: np.ndarray, df: np.ndarray, threshold: float, rare: int = RARE) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, record) of the extended prefixes. Sets too small to be sure of one, of fewer than (CLASSES + 1) /
-    threshold tokens, post the single tokens of the plain prefix; so do all sets that could be similar to such."""
+    """(signature, record) of the extended prefixes."""
     order = np.lexsort((h, df, rec))
     rec, h, df = rec[order], h[order], df[order]
     n = np.bincount(rec) if len(rec) else np.zeros(0, np.int64)
     size = n[rec]
     need = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-    begin = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-    place = np.arange(len(rec)) - begin[rec]
-    enough = int(np.ceil((CLASSES + 1) / threshold))
-    plain = (size <= enough / threshold) & (place < need) & (df > 1)
-    # Tokens that a partner without a common signature must lack, counted along the prefix.
-    level = np.where(df <= rare, -1, (h % U(CLASSES)).astype(np.int64))
-    lacked = np.zeros(len(rec), np.int64)
-    for c in range(-1, CLASSES):
-        upto = np.cumsum(level == c)
-        own = upto - np.concatenate([[0], upto])[begin][rec] if len(rec) else upto
-        lacked += own if c < 0 else np.maximum(0, own - 1)
-    earlier = np.where(place == 0, 0, np.concatenate([[0], lacked[:-1]])) if len(rec) else lacked
-    inside = (earlier < need) & (size >= enough)
-    single = inside & (level < 0) & (df > 1)
-    out_s, out_r = [mix(h[plain] ^ U(0xA5A5A5A5)), h[single]], [rec[plain], rec[single]]
-    at = np.flatnonzero(inside & (level >= 0))
-    at = at[np.argsort(rec[at] * CLASSES + level[at], kind="stable")]
-    key, x, d = rec[at] * CLASSES + level[at], np.arange(len(at)), 1
-    while len(x := x[x + d < len(at)]):
-        x = x[key[x + d] == key[x]]
-        out_s.append(mix(mix(h[at[x]]) * U(0x9E3779B97F4A7C15) + h[at[x + d]]))
-        out_r.append(rec[at[x]])
-        d += 1
-    return np.concatenate(out_s), np.concatenate(out_r)
+    begin = (np.cumsum(n) - n)[rec]
+    place = np.arange(len(rec)) - begin
+    frequent = df > rare
+    own = grade(np.maximum(size, 1))
+    tiny = int(1 / threshold + 1e-9)  # largest set that may share one token only with a partner
+    lowest = grade(np.maximum(np.ceil(threshold * size - 1e-9), tiny + 1).astype(np.int64))
+    alone = (threshold * size <= tiny + 1e-9) & (place < need) & (df > 1)
+    single = np.zeros(len(rec), bool)
+    out_s, out_r = [mix(h[alone] ^ U(0xA5A5A5A5))], [rec[alone]]
+    for below in range(int(np.ceil(-np.log2(threshold))) + 1):
+        g = own - below
+        here = (size > tiny) & (g >= lowest)
+        level = np.where(frequent, (h % classes_of(g, threshold).astype(U)).astype(np.int64), -1)
+        # Tokens up to each one that a partner without a common signature must lack: all but the first of each class.
+        key = rec * (1 << 31) + level
+        by_class = np.argsort(key, kind="stable")
+        first = np.ones(len(rec), bool)
+        first[by_class[1:]] = key[by_class[1:]] != key[by_class[:-1]]
+        spared = np.concatenate([[0], np.cumsum(first & frequent)])
+        inside = here & (place - (spared[:-1] - spared[begin]) < need)
+        single |= inside & ~frequent
+        at = np.flatnonzero(inside & frequent)
+        at = at[np.argsort(key[at], kind="stable")]
+        k, tag, x, d = key[at], g[at].astype(U) * U(0x2545F4914F6CDD1D), np.arange(len(at)), 1
+        while len(x := x[x + d < len(at)]):
+            x = x[k[x + d] == k[x]]
+            out_s.append(mix(mix(h[at[x]]) * U(0x9E3779B97F4A7C15) + h[at[x + d]] + tag[x]))
+            out_r.append(rec[at[x]])
+            d += 1
+    single &= df > 1
+    return np.concatenate([*out_s, h[single]]), np.concatenate([*out_r, rec[single]])
 
 
 def bitmaps(rec: np.ndarray, h: np.ndarray, records: int) -> np.ndarray:
@@ -163,15 +189,14 @@ PAIR = "kind int, sig long, a long, b long, n int, bits array<long>"
 
 def candidates(batches: DataFrame, k: int, threshold: float, rare: int = RARE, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """Rows of kind 0, candidate pairs (a, b), and of kind 1, members a of a list ``sig`` that was too long."""
-    totals = batches.agg(F.sum("n"), F.sum("size")).first()
-    records, chars = totals[0] or 0, totals[1] or 0
+    chars = batches.agg(F.sum("size")).first()[0] or 0
     counting = ranges_for(chars / 8)
 
     def counted(payload: dict) -> tuple[np.ndarray, np.ndarray]:
         _, h = token_sets(payload["text"], k)
         return np.unique(short(h), return_counts=True)
 
-    posting = max(8, int(records * 24 / POSTINGS_A_RANGE) + 1)
+    posting = max(8, int(chars * POSTINGS_A_CHAR / POSTINGS_A_RANGE) + 1)
     starts = range_starts(posting)
 
     def post(batch: int, payload: dict, answers: list) -> Iterator[pa.RecordBatch]:
@@ -260,26 +285,36 @@ def verified(pairs: DataFrame, batches: DataFrame, k: int, threshold: float) ->
     return cut(joined.select("a", "b", "s", "t").mapInArrow(compare, "a long, b long"), "links")
 
 
-def _apart(listed: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Pairs that meet in a long list and are in different components, after the same filters."""
+def _apart(listed: DataFrame, labels: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Pairs that meet in a long list and are in different components, after the same filters.
+
+    The members outside a list's largest component are rows, all members are columns; both are cut into blocks by hash, and a
+    row and a column meet under the key (list, row block, column block), of at most about ``block`` of each."""
     held = listed.select("sig", "a", "n", "bits").join(labels.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    open_ = held.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    x = cut(held.join(open_, "sig", "left_semi"), "open")
-    y = x.select("sig", *(F.col(c).alias(f"{c}_2") for c in ("a", "n", "bits", "component")))
+    held = cut(held, "listed")
+    parts = held.groupBy("sig", "component").agg(F.count("*").alias("m"))
+    lists = parts.groupBy("sig").agg(F.sum("m").alias("m"), F.max_by("component", F.struct("m", "component")).alias("main"), F.max("m").alias("inside")).where("inside < m")
+    lists = lists.select("sig", "main", F.ceil((F.col("m") - F.col("inside")) / block).cast("int").alias("rows"), F.ceil(F.col("m") / block).cast("int").alias("columns"))
+    x = cut(held.join(lists, "sig"), "open")
+    of = lambda blocks, salt: F.pmod(F.xxhash64("a", F.lit(salt)), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    row = x.where("component <> main").withColumn("row", of("rows", 1)).withColumn("column", every("columns")).drop("rows", "columns")
+    column = x.withColumn("column", of("columns", 2)).withColumn("row", every("rows")).select("sig", "row", "column", *(F.col(c).alias(f"{c}_2") for c in ("a", "n", "bits", "component")))
     apart = F.aggregate(F.zip_with("bits", "bits_2", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
     need = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("n_2")) - 1e-9)
     fits = (F.least("n", "n_2") >= threshold * F.greatest("n", "n_2") - 1e-9) & (F.floor((F.col("n") + F.col("n_2") - apart) / 2) >= need)
-    return x.join(y, "sig").where("a < a_2 and component <> component_2").where(fits).select("a", F.col("a_2").alias("b")).distinct()
+    met = row.join(column, ["sig", "row", "column"]).where("component <> component_2 and (component_2 = main or a < a_2)").where(fits)
+    return met.select(F.least("a", "a_2").alias("a"), F.greatest("a", "a_2").alias("b")).distinct()
 
 
 def near_duplicates(records: DataFrame, shingle: int = 5, threshold: float = 0.8, least_words: int | None = None, rare: int = RARE, all_pairs: int = ALL_PAIRS) -> DataFrame:
     """(id, class_id, group_id) of records (id, text) with enough words: the smallest id with the same text and
     the smallest class of the group. Records alone in their group have a row as well."""
     least_words = max(shingle, least_words or shingle)
-    text: Column = F.coalesce("text", F.lit(""))
-    held = records.select("id", text.alias("text")).where(F.col("id").isNotNull() & (F.size(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))) >= least_words))
-    keyed = held.select("id", F.md5("text").alias("key"), "text")
-    classes = cut(keyed.groupBy("key", "text").agg(F.min("id").alias("rep")), "classes")
+    keyed = records.where("id is not null").select("id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.md5("text"))
+    distinct = keyed.groupBy("key", "text").agg(F.min("id").alias("rep"))
+    enough = F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))) >= least_words  # counted once for equal texts
+    classes = cut(distinct.where(enough), "classes")
     members = keyed.select("id", "key").distinct().join(classes.select("key", "rep"), "key").select("id", F.col("rep").alias("class_id"))
     batches = pack_rows(classes.select("rep", "text"), lambda row: len(row[1]), BATCH_CHARS, "batches")
     tried = candidates(batches, shingle, threshold, rare, all_pairs)

@@ -139,6 +139,47 @@ def test_near_duplicates(spark, k, threshold, rare, all_pairs):
     assert rows(near_duplicates.pairs_in_groups(got)) == pairs
 
 
+def test_signatures_meet():
+    """Whatever the sizes, thresholds and frequencies, two similar sets share a signature; a long set posts in proportion to its size."""
+    rng = random.Random(12)
+    for _ in range(400):
+        t = rng.choice([0.3, 0.5, 0.55, 0.7, 0.8, 0.9, 1.0])
+        size = rng.choice([1, 2, 3, 4, 5, 8, 17, 60, 200])
+        x = [rng.getrandbits(60) for _ in range(size)]
+        kept = rng.sample(x, max(1, min(size, int(np.ceil(size * t)) + rng.randint(0, 2))))
+        y = kept + [rng.getrandbits(60) for _ in range(rng.randint(0, max(0, int(len(kept) / t) - size)))]
+        if jaccard(set(x), set(y)) < t - 1e-12:
+            continue
+        df = {w: rng.choice([2, 5, 60, 90]) for w in {*x, *y}}
+        flat = [(0, w) for w in sorted(set(x))] + [(1, w) for w in sorted(set(y))]
+        s, r = near_duplicates.signatures(np.array([a for a, _ in flat]), np.array([w for _, w in flat], np.uint64), np.array([df[w] for _, w in flat]), t)
+        assert set(s[r == 0].tolist()) & set(s[r == 1].tolist()), (t, len(x), len(y))
+    for n in (100, 1000, 20_000):
+        h = np.sort(np.random.default_rng(n).integers(0, 2**62, n, dtype=np.uint64))
+        assert len(near_duplicates.signatures(np.zeros(n, np.int64), h, np.full(n, 10**6), 0.7)[0]) < 4 * n
+
+
+def test_near_duplicates_hot_group(spark):
+    """A group of near copies longer than a list that is tried pair by pair, with unlike texts that share its lists: recall of links against
+    brute force is 1."""
+    rng = random.Random(9)
+    core = [f"c{i}" for i in range(40)]
+    texts = {}
+    for i in range(400):
+        w = list(core)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(40)] = f"x{rng.randrange(50)}"
+        texts[i] = " ".join(w)
+    for i in range(400, 520):  # half of the core, and one of 20 tails of their own
+        k = i % 20
+        texts[i] = " ".join(core[:21] + [f"t{k}_{j}" for j in range(25)] + [f"u{i % 3}"])
+    df = spark.createDataFrame(list(texts.items()), "id long, text string")
+    want = brute_groups(texts, 3, 0.7, 20)
+    parts = lambda g: {frozenset(x for x in g if g[x] == v) for v in set(g.values())}
+    got = near_duplicates.near_duplicates(df, 3, 0.7, 20, 8, 16)
+    assert parts({r.id: r.group_id for r in got.collect()}) == parts(want) and len(parts(want)) > 15
+
+
 def test_near_duplicates_empty(spark):
     assert near_duplicates.near_duplicates(spark.createDataFrame([], "id long, text string")).count() == 0
 
