@@ -7,8 +7,9 @@ anchors are extended to every start at which a stretch of ``length`` characters
 stretches, hashed whole, are asked for once more. A character is shared if such a stretch covers it.
 
 No pair of records is ever formed: both rounds ask which hashes occur in several records (see census.py), so a
-passage that stands in a third of all records costs no more than any other. A stretch counts as shared if its
-64-bit hash is; the chance that two different stretches meet is their number over 2^64 for each.
+passage that stands in a third of all records costs no more than any other. A hash is two polynomials over the prime field of
+2^31 - 1 with bases of their own, other ones in each round. Two different stretches of n characters meet with a chance of at most
+(n / 2^31)^2 each, whatever their structure; a stretch that is reported has met twice, with its anchor and as a whole.
 
 Defined cases: null and short codes give nothing; characters are code points; a stretch that a record repeats only within
 itself is not shared; repeated rows (equal keys and text) are one record.
@@ -22,9 +23,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codestrata.llm.census import U, ask, mix, pack_rows, packed_row, ranges_for, read_answers, with_answers, PACKED
-from codestrata.session import cut
+from codestrata.session import cut, small_enough
 
 # Perfect difference sets (Singer): every residue but 0 is the difference of exactly one pair. Fixed values.
 COVERS = {
@@ -37,8 +39,10 @@ COVERS = {
     91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81),
 }
 BATCH_CHARS = 1_000_000
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+MOST_BATCH_CHARS = 8_000_000
+PRIME = (1 << 31) - 1
+# Bases of the polynomials, two for each of the two rounds: any numbers below the prime.
+BASES = ((0x5A17C0DE, 0x1D872B41), (0x6C8E9CF5, 0x39E2D46B))
 
 
 def period_for(length: int) -> int:
@@ -50,30 +54,45 @@ def _too_short(length: int) -> int:
     raise ValueError(f"spans of {length} characters are too short: at least 18")
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, U), np.full(n, _INVERSE, U)
-    up[0] = down[0] = U(1)
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+def _mod(x: np.ndarray) -> np.ndarray:
+    """Remainder of numbers below 2^62."""
+    x = (x & U(PRIME)) + (x >> U(31))
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base^0 to base^(n - 1)."""
+    out = np.ones(n, U)
+    done, step = 1, base % PRIME
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = _mod(out[:more] * U(step))
+        done, step = done + more, step * step % PRIME
+    return out
 
 
 class Texts:
-    """Texts of a batch laid end to end; places are counted through all of them."""
+    """Texts of a batch laid end to end; places are counted through all of them. ``round_`` chooses the bases."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], round_: int = 0):
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.ends = np.cumsum(self.lengths)
         self.starts = self.ends - self.lengths
         points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(U)
         self.size = len(points)
-        n = 1 << max(12, int(self.size).bit_length())
-        self.up, self.down = _powers(n)
-        self.sums = np.zeros(self.size + 1, U)
-        np.cumsum(mix(points + U(1)) * self.up[: self.size], dtype=U, out=self.sums[1:])
+        n = 1 << max(12, int(self.size + 1).bit_length())
+        self.sums = []
+        for base in BASES[round_]:
+            # Window sums of point * base^place; a negative power of the base then takes their place out.
+            sums = np.zeros(self.size + 1, U)
+            np.cumsum(_mod((points + U(1)) * _powers(base, n)[: self.size]), dtype=U, out=sums[1:])
+            self.sums.append((sums, _powers(pow(base, -1, PRIME), n)))
 
     def hashes(self, at: np.ndarray, width: int) -> np.ndarray:
         """Hash of ``width`` characters from each place; it depends on these alone."""
-        return mix((self.sums[at + width] - self.sums[at]) * self.down[at])
+        parts = [_mod(_mod(sums[at + width] - sums[at]) * down[at]) for sums, down in self.sums]
+        return mix(parts[0] << U(31) | parts[1])
 
     def record_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
@@ -129,6 +148,23 @@ def _runs(mask: np.ndarray, texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     return begin[keep], end[keep]
 
 
+def one_a_record(texts: DataFrame) -> DataFrame:
+    """(src, rec_id, item_pos, text, size) with repeated rows once. Keys alone are counted; only texts of repeated keys are moved, the
+    others stay where they are read."""
+    keys = ["src", "rec_id", "item_pos"]
+    texts = texts.withColumn("size", F.length("text"))
+    repeated = cut(texts.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys), "repeated")
+    right = F.broadcast(repeated) if small_enough(repeated) else repeated
+    met = [texts[k].eqNullSafe(right[k]) for k in keys]
+    return texts.join(right, met, "left_anti").unionByName(texts.join(right, met, "left_semi").distinct())
+
+
+def batch_chars(chars: int) -> int:
+    """Characters of a batch. A batch sends a block to each range that it has hashes for, and ranges grow with the data; batches grow
+    along with them, up to what a task can hold, so that blocks do not shrink to a few hashes."""
+    return int(min(MOST_BATCH_CHARS, max(BATCH_CHARS, chars / 4000)))
+
+
 def shared_spans(records: DataFrame, length: int = 150) -> DataFrame:
     """(src, rec_id, item_pos, start_pos, span_len, chars) for records of (src, rec_id, item_pos, text): the longest
     runs of characters covered by stretches of at least ``length`` that also stand in another record; chars
@@ -136,9 +172,9 @@ def shared_spans(records: DataFrame, length: int = 150) -> DataFrame:
     period = period_for(length)
     width = length - period + 1
     density = len(COVERS[period]) / period
-    held = records.where(f"length(text) >= {length}").select("src", "rec_id", "item_pos", "text").distinct()
-    batches = pack_rows(held, lambda row: len(row[3]), BATCH_CHARS, "texts")
-    chars = batches.agg({"size": "sum"}).first()[0] or 0
+    held = one_a_record(records.where(f"length(text) >= {length}").select("src", "rec_id", "item_pos", "text"))
+    chars = held.agg({"size": "sum"}).first()[0] or 0
+    batches = pack_rows(held.drop("size"), lambda row: len(row[3]), batch_chars(chars), "texts")
     ranges = ranges_for(chars * density)
 
     def anchors(payload: dict) -> tuple[np.ndarray, None]:
@@ -163,7 +199,7 @@ def shared_spans(records: DataFrame, length: int = 150) -> DataFrame:
         yield packed_row(batch, len(kept), int((end - begin).sum()), new)
 
     def candidates(payload: dict) -> tuple[Texts, Grouped]:
-        t = Texts(payload["text"])
+        t = Texts(payload["text"], 1)
         at = [np.arange(a, b) + s for s, (x, y) in zip(t.starts, payload["starts"]) for a, b in zip(x, y)]
         return t, Grouped(t, np.concatenate(at) if at else np.zeros(0, np.int64), length)
 

@@ -94,6 +94,30 @@ def test_spans(spark, length):
     assert spans.shared_spans(df.limit(0), length).count() == 0
 
 
+def test_hashes_of_structured_texts():
+    """Texts over two letters with the structure that defeats sums modulo a power of two: the Thue-Morse word and its complement."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(4096))
+    other = word.translate(str.maketrans("ab", "ba"))
+    for round_ in (0, 1):
+        t = spans.Texts([word, other, "x" + word], round_)
+        for n in (128, 1024, 4096):
+            a, b, c = t.hashes(np.array([0, 4096, 8193]), n)
+            assert a != b and a == c
+    windows = spans.Texts([word]).hashes(np.arange(4096 - 200), 200)
+    texts = {word[i : i + 200] for i in range(4096 - 200)}
+    assert len(set(windows.tolist())) == len(texts)
+
+
+def test_spans_of_structured_texts(spark):
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows_ = [("m", 1, 0, word), ("m", 2, 0, other), ("m", None, 0, word[:300]), ("m", None, 0, word[:300]), (None, 4, 0, None)]
+    df = spark.createDataFrame(rows_, "src string, rec_id long, item_pos long, text string")
+    got = {(r.rec_id, r.start_pos, r.span_len) for r in spans.shared_spans(df, 900).collect()}
+    assert got == set()
+    assert {(r.rec_id, r.span_len) for r in spans.shared_spans(df, 290).collect() if r.rec_id is None} == {(None, 300)}
+
+
 def test_covers():
     for p, d in spans.COVERS.items():
         assert {(a - b) % p for a in d for b in d} == set(range(p)) and len(d) * (len(d) - 1) == p - 1
