@@ -108,39 +108,41 @@ def pagerank_by_group(edges: DataFrame, restart: DataFrame, group: str, alpha: f
     return both.withColumn("_batch", batch).groupBy("_batch").applyInPandas(run, f"{group} {kind}, node string, rank double")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, most: int | None = None) -> DataFrame:
-    """(node, dist): steps from the nearest of ``sources`` (node) over undirected edges, up to ``most``, or as far as
-    they lead. The frontier is joined once a step and cut into the shared folder; what it meets again can only
-    lie in the last two."""
+def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(node, dist): steps from the nearest of ``sources`` (node) over undirected edges, as far as they lead. The frontier is joined
+    once a step and written once; what it meets again can only lie in the last two. The result reads the parts together."""
     steps = cut(undirected(edges), "undirected")
     front = cut(sources.select("node").where("node is not null").distinct().withColumn("dist", F.lit(0)), "front")
-    before, seen = front.limit(0), front
-    for i in itertools.count(1) if most is None else range(1, most + 1):
+    before, parts = front.limit(0), [front]
+    for i in itertools.count(1):
         new = front.select(F.col("node").alias("u")).join(steps, "u").select(F.col("v").alias("node")).distinct()
         new = new.join(front, "node", "left_anti").join(before, "node", "left_anti").withColumn("dist", F.lit(i))
         before, front = front, cut(new, "front")
         if not front.limit(1).count():
-            break
-        seen = seen.unionByName(front)
-        if i % 16 == 0:
-            seen = cut(seen, "seen")
-    return seen
+            return together(parts)
+        parts.append(front)
 
 
-def closure(edges: DataFrame, most: int | None = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, depth): everything reachable along (src, dst), with the least number of steps; semi-naive, so each
-    round joins only the pairs that were new in the last one. Ends on a cycle as well; with ``most`` None it goes on
-    until nothing new is found."""
+    round joins only the pairs that were new in the last one, and writes only what is new. Goes on until nothing new is found, on cycles
+    as well."""
     e = cut(edges.select("src", "dst").distinct(), "edges")
-    whole = e.withColumn("depth", F.lit(1))
-    new = whole
-    for i in itertools.count(2) if most is None else range(2, most + 1):
+    new = e.withColumn("depth", F.lit(1))
+    parts = [new]
+    for i in itertools.count(2):
         step = new.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        new = cut(step.join(whole, ["src", "dst"], "left_anti").withColumn("depth", F.lit(i)), "new")
+        new = cut(step.join(together(parts), ["src", "dst"], "left_anti").withColumn("depth", F.lit(i)), "new")
         if not new.limit(1).count():
-            break
-        whole = cut(whole.unionByName(new), "closure")
-    return whole
+            return together(parts)
+        parts.append(new)
+
+
+def together(parts: list[DataFrame]) -> DataFrame:
+    """Tables of one schema as one, by a balanced tree of unions."""
+    while len(parts) > 1:
+        parts = [parts[i].unionByName(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def kinds_between(edges: DataFrame) -> DataFrame:

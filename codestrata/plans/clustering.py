@@ -128,14 +128,18 @@ def gamma_sweep_best(s, d):
 
 
 @query(
-    f"""WITH {B.METHODS}, f AS (SELECT DISTINCT func_file, regexp_extract(func_file, '([^/]+)\\.py$', 1) AS base FROM meth WHERE func_file IS NOT NULL), w AS (SELECT DISTINCT func_file, unnest(regexp_extract_all(method_code, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM meth WHERE func_file IS NOT NULL)
+    f"""WITH {B.METHODS}, {B.DEPENDENCIES}, f AS (SELECT DISTINCT func_file, regexp_extract(func_file, '([^/]+)\\.py$', 1) AS base FROM meth WHERE func_file IS NOT NULL), n AS (SELECT DISTINCT completion_path, dep FROM deps JOIN tasks USING (example_id) WHERE completion_path IS NOT NULL),
+    w AS (SELECT DISTINCT func_file, unnest(regexp_extract_all(method_code, '[A-Za-z_][A-Za-z0-9_]*')) AS word FROM meth WHERE func_file IS NOT NULL UNION SELECT completion_path, unnest(regexp_extract_all(dep, '[A-Za-z_][A-Za-z0-9_]*')) FROM n)
     SELECT DISTINCT least(w.func_file, f.func_file) AS i, greatest(w.func_file, f.func_file) AS j FROM w JOIN f ON word = base AND w.func_file <> f.func_file"""
 )
 def identifier_links(s, d):
-    """Files whose name stands among the identifiers of another file."""
+    """Files whose name stands among the identifiers of another file: those of its code and of what its tasks use."""
     m = B.methods(s, d, "func_file", "method_code").where("func_file is not null")
     f = m.select(F.col("func_file").alias("other"), F.regexp_extract("func_file", r"([^/]+)\.py$", 1).alias("word")).distinct()
-    w = m.select("func_file", F.explode(F.array_distinct(T.identifiers("method_code"))).alias("word")).distinct()
+    paths = B.tasks(s, d, "completion_path").where("completion_path is not null")
+    used = B.dependencies(s, d).join(paths, "example_id").select(F.col("completion_path").alias("func_file"), "dep").distinct()
+    words = lambda c: F.explode(F.array_distinct(T.identifiers(c))).alias("word")
+    w = m.select("func_file", words("method_code")).unionByName(used.select("func_file", words("dep"))).distinct()
     return w.join(f, "word").where("func_file <> other").select(F.least("func_file", "other").alias("i"), F.greatest("func_file", "other").alias("j")).distinct()
 
 

@@ -97,20 +97,22 @@ def recall_rule_audit(s, d):
 
 
 @query(
-    f"""WITH {B.DEPENDENCIES}, {METRICS}, p AS (SELECT metric_id, task_id, unnest(top_predictions) AS pred FROM tm), t AS (SELECT DISTINCT example_id AS task_id, dep FROM deps),
-    h AS (SELECT DISTINCT metric_id, dep FROM p JOIN t ON p.task_id = t.task_id AND (pred = dep OR starts_with(pred, dep || '.') OR pred = 'src.' || dep OR starts_with(pred, 'src.' || dep || '.')))
-    SELECT metric_id, CAST(count(*) AS BIGINT) AS hits FROM h GROUP BY metric_id"""
+    f"""WITH {B.DEPENDENCIES}, {METRICS}, p AS (SELECT 'metric' AS src, metric_id AS rec_id, task_id, unnest(top_predictions) AS pred FROM tm UNION ALL SELECT 'run', run_id, task_id, unnest(final_stage.hit_dependencies) FROM (SELECT DISTINCT ON (run_id) * FROM agent_result)), t AS (SELECT DISTINCT example_id AS task_id, dep FROM deps),
+    h AS (SELECT DISTINCT src, rec_id, dep FROM p JOIN t ON p.task_id = t.task_id AND (pred = dep OR starts_with(pred, dep || '.') OR pred = 'src.' || dep OR starts_with(pred, 'src.' || dep || '.')))
+    SELECT src, rec_id, CAST(count(*) AS BIGINT) AS hits FROM h GROUP BY src, rec_id"""
 )
 def path_hits(s, d):
-    """Predictions that are a dependency or a member of it, with or without the source root: each prediction is cut
+    """Predictions, of metrics and of runs, that are a dependency or a member of it, with or without the source root: each prediction is cut
     into its prefixes, which meet the truth by equality."""
     m = table(s, d, "task_metrics", "metric_id", "task_id", "top_predictions").distinct()
-    p = m.select("metric_id", "task_id", F.explode("top_predictions").alias("pred"))
+    r = table(s, d, "agent_result", "run_id", "task_id", "final_stage").select("run_id", "task_id", F.col("final_stage.hit_dependencies").alias("hits")).distinct()
+    p = m.select(F.lit("metric").alias("src"), F.col("metric_id").alias("rec_id"), "task_id", F.explode("top_predictions").alias("pred"))
+    p = p.unionByName(r.select(F.lit("run").alias("src"), F.col("run_id").alias("rec_id"), "task_id", F.explode("hits").alias("pred")))
     parts = F.split(F.regexp_replace("pred", r"^src\.", ""), r"\.")
     whole = F.split("pred", r"\.")
     cuts = F.array_union(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), ".")), F.transform(F.sequence(F.lit(1), F.size(whole)), lambda n: F.array_join(F.slice(whole, F.lit(1), n), ".")))
     truth = B.dependencies(s, d).select(F.col("example_id").alias("task_id"), "dep").distinct()
-    return p.select("metric_id", "task_id", F.explode(cuts).alias("dep")).distinct().join(truth, ["task_id", "dep"]).groupBy("metric_id").agg(F.count("*").alias("hits"))
+    return p.select("src", "rec_id", "task_id", F.explode(cuts).alias("dep")).distinct().join(truth, ["task_id", "dep"]).groupBy("src", "rec_id").agg(F.count("*").alias("hits"))
 
 
 KS = f"""{METRICS}, long AS (SELECT metric_id, project, 'exact' AS measure, e.key AS k, e.value AS v FROM (SELECT metric_id, project, unnest(map_entries(exact)) AS e FROM tm)

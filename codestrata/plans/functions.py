@@ -25,27 +25,18 @@ def name_functions(s, d):
 
 @query(
     """SELECT doc_id, regexp_replace(regexp_replace(coalesce(title, ''), '[^A-Za-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g') AS column_name, sha256(coalesce(text, '')) AS content_hash, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS lines,
-    replace(replace(replace(replace(replace(substring(coalesce(text, ''), 1, 200), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS unescaped, coalesce(lower(trim(lang)) IN ('true', '1', 'yes', 'y', 't', 'en'), FALSE) AS flag, TRY_CAST(regexp_extract(text, '\\d{1,9}') AS BIGINT) AS first_number FROM documents"""
+    replace(replace(replace(replace(replace(coalesce(text, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS unescaped, coalesce(lower(trim(lang)) IN ('true', '1', 'yes', 'y', 't', 'en'), FALSE) AS flag, TRY_CAST(regexp_extract(text, '\\d+') AS BIGINT) AS first_number FROM documents"""
 )
 def text_functions(s, d):
+    """Figures of whole titles and texts; a first run of digits that is no 64-bit number is null."""
     t = F.coalesce("text", F.lit(""))
     x = table(s, d, "documents", "doc_id", "text", "title", "lang")
     return x.select(
-        "doc_id", T.column_name(F.coalesce("title", F.lit(""))).alias("column_name"), F.sha2(t, 256).alias("content_hash"), F.size(F.split(t, "\n")).cast("long").alias("lines"), T.unescaped(F.substring(t, 1, 200)).alias("unescaped"),
-        (T.truthy("lang") | F.coalesce(F.lower(F.trim("lang")) == "en", F.lit(False))).alias("flag"), T.safe_long(F.regexp_extract("text", r"\d{1,9}", 0)).alias("first_number"),
+        "doc_id", T.column_name(F.coalesce("title", F.lit(""))).alias("column_name"), F.sha2(t, 256).alias("content_hash"), F.size(F.split(t, "\n")).cast("long").alias("lines"), T.unescaped(t).alias("unescaped"),
+        (T.truthy("lang") | F.coalesce(F.lower(F.trim("lang")) == "en", F.lit(False))).alias("flag"), T.safe_long(F.regexp_extract("text", r"\d+", 0)).alias("first_number"),
     )
 
 
-@query(
-    """SELECT doc_id, replace(replace(replace(replace(replace(coalesce(text, ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&amp;', '&') AS unescaped, TRY_CAST(regexp_extract(text, '\\d+') AS BIGINT) AS first_number FROM documents"""
-)
-def whole_text_functions(s, d):
-    """Entities of the whole text, and its first run of digits, null where that is no 64-bit number. ``text_functions``
-    has both for the first 200 characters and the first nine digits only."""
-    x = table(s, d, "documents", "doc_id", "text")
-    return x.select("doc_id", T.unescaped(F.coalesce("text", F.lit(""))).alias("unescaped"), T.safe_long(F.regexp_extract("text", r"\d+", 0)).alias("first_number"))
-
-
 @query(
     f"""WITH {B.METHODS}, l AS (SELECT id, string_split(method_code, chr(10)) AS l FROM meth WHERE method_code IS NOT NULL), i AS (SELECT id, l, list_min(list_transform(list_filter(l, lambda x: length(trim(x)) > 0), lambda x: length(x) - length(ltrim(x)))) AS n FROM l)
     SELECT id, array_to_string(list_transform(l, lambda x: CASE WHEN length(trim(x)) = 0 THEN '' ELSE x[coalesce(n, 0) + 1:] END), chr(10)) AS dedented, array_to_string(l[2:3], chr(10)) AS second_third, array_to_string(list_transform(l, lambda x, k: CASE WHEN k BETWEEN 2 AND 3 THEN '' ELSE x END), chr(10)) AS blanked FROM i"""

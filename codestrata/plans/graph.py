@@ -104,7 +104,7 @@ PPR_ROUNDS = 10
 
 def _ppr_sql() -> str:
     ctes = [
-        "e AS MATERIALIZED (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem WHERE l_returnflag = 'R')",
+        "e AS MATERIALIZED (SELECT DISTINCT 's' || l_suppkey AS src, 'p' || l_partkey AS dst FROM lineitem)",
         "n AS MATERIALIZED (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0)",
         "w AS (SELECT 's' || s_suppkey AS node, 1.0::DOUBLE AS w FROM supplier WHERE s_acctbal > 0)",
         "b AS MATERIALIZED (SELECT node, coalesce(w, 0) / (SELECT sum(w) FROM w) AS p FROM n LEFT JOIN w USING (node))",
@@ -121,8 +121,8 @@ def _ppr_sql() -> str:
 
 @query(_ppr_sql())
 def ppr_fixed_iters(s, d):
-    """Ten rounds over the undirected graph of returned supplies, restarting at suppliers in credit."""
-    li = table(s, d, "lineitem", "l_suppkey", "l_partkey", "l_returnflag").where("l_returnflag = 'R'")
+    """Ten rounds over the undirected graph of all supplies, restarting at suppliers in credit."""
+    li = table(s, d, "lineitem", "l_suppkey", "l_partkey")
     e = li.select(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).distinct()
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     restart = table(s, d, "supplier", "s_suppkey", "s_acctbal").where("s_acctbal > 0").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), F.lit(1.0).alias("w"))
@@ -130,14 +130,14 @@ def ppr_fixed_iters(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE {B.CODE_GRAPH}, u AS (SELECT src AS u, dst AS v FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
+    f"""WITH RECURSIVE {B.CODE_GRAPH}, u AS MATERIALIZED (SELECT src AS u, dst AS v FROM edges WHERE src <> dst UNION SELECT dst, src FROM edges WHERE src <> dst),
     src AS (SELECT DISTINCT e.symbol AS node FROM (SELECT unnest(final_locations.entities) AS e FROM agent_result) WHERE e.symbol IN (SELECT node FROM nodes)),
-    b(node, dist) AS (SELECT node, 0 FROM src UNION SELECT v, dist + 1 FROM b JOIN u ON node = u.u WHERE dist < 3)
-    SELECT node, CAST(min(dist) AS BIGINT) AS dist FROM b GROUP BY node"""
+    b(node, dist) USING KEY (node) AS (SELECT node, 0 FROM src UNION SELECT v, min(b.dist) + 1 FROM b JOIN u ON b.node = u.u WHERE NOT EXISTS (SELECT 1 FROM recurring.b r WHERE r.node = v) GROUP BY v)
+    SELECT node, CAST(dist AS BIGINT) AS dist FROM b"""
 )
 def bfs_shortest_path_len(s, d):
-    """Steps of every node from the nearest located one, up to three."""
-    return G.shortest_paths(B.code_edges(s, d), _located(s, d), 3).select("node", F.col("dist").cast("long").alias("dist"))
+    """Steps of every node that a located one reaches, from the nearest, however far."""
+    return G.shortest_paths(B.code_edges(s, d), _located(s, d)).select("node", F.col("dist").cast("long").alias("dist"))
 
 
 def _located(s, d):
@@ -145,19 +145,28 @@ def _located(s, d):
     return e.join(B.code_nodes(s, d), "node", "left_semi")
 
 
-@query()
-def bfs_whole_path_len(s, d):
-    """Steps of every node that a located one reaches, from the nearest, however far; ``bfs_shortest_path_len`` ends at three."""
-    return G.shortest_paths(B.code_edges(s, d), _located(s, d)).select("node", F.col("dist").cast("long").alias("dist"))
+TRADE = """edges AS (SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst, 'ordered by' AS kind FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey, 'lives in' FROM customer
+    UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'based in' FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'part of' FROM nation)"""
+
+
+def trade_edges(s, d):
+    """(src, dst, kind): orders, customers, suppliers, nations and regions as one graph."""
+    one = lambda t, a, x, b, y, kind: table(s, d, t, a, b).select(F.concat(F.lit(x), a).alias("src"), F.concat(F.lit(y), b).alias("dst"), F.lit(kind).alias("kind"))
+    return (
+        one("orders", "o_orderkey", "o", "o_custkey", "c", "ordered by")
+        .unionByName(one("customer", "c_custkey", "c", "c_nationkey", "n", "lives in"))
+        .unionByName(one("supplier", "s_suppkey", "s", "s_nationkey", "n", "based in"))
+        .unionByName(one("nation", "n_nationkey", "n", "n_regionkey", "r", "part of"))
+    )
 
 
 @query(
-    f"""WITH {B.CODE_GRAPH}, k AS (SELECT src, dst, array_to_string(list_sort(list_distinct(list(kind))), '|') AS kinds FROM edges WHERE src <> dst GROUP BY 1, 2)
+    f"""WITH {TRADE}, k AS (SELECT src, dst, array_to_string(list_sort(list_distinct(list(kind))), '|') AS kinds FROM edges WHERE src <> dst GROUP BY 1, 2)
     SELECT a.kinds || '>' || b.kinds AS pattern, CAST(count(*) AS BIGINT) AS n FROM k a JOIN k b ON a.dst = b.src WHERE a.src <> b.dst GROUP BY 1 ORDER BY n DESC, pattern LIMIT 50"""
 )
 def path_pattern_hist(s, d):
-    """The 50 most frequent patterns of two steps."""
-    return G.two_step_patterns(B.code_edges(s, d)).select("pattern", F.col("n").cast("long").alias("n")).orderBy(F.desc("n"), "pattern").limit(50)
+    """The 50 most frequent patterns of two steps in the trade graph."""
+    return G.two_step_patterns(trade_edges(s, d)).select("pattern", F.col("n").cast("long").alias("n")).orderBy(F.desc("n"), "pattern").limit(50)
 
 
 @query()
@@ -242,16 +251,19 @@ def same_name_fan_out(s, d):
 
 
 @query(
-    f"""WITH {B.DEPENDENCIES}, {B.NAMES}, f AS (SELECT name, arg_min(file, id) AS file FROM names WHERE file IS NOT NULL AND name IS NOT NULL GROUP BY name)
-    SELECT a.file AS src_file, b.file AS dst_file, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT namespace, dep FROM deps) JOIN f a ON namespace = a.name JOIN f b ON dep = b.name WHERE a.file <> b.file GROUP BY 1, 2"""
+    f"""WITH {B.DEPENDENCIES}, {B.NAMES}, f AS (SELECT regexp_extract(name, '^[^.]*\\.[^.]*') AS module, arg_min(file, id) AS file FROM names WHERE file IS NOT NULL AND name IS NOT NULL GROUP BY 1)
+    SELECT a.file AS src_file, b.file AS dst_file, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT namespace, dep FROM deps) JOIN f a ON regexp_extract(namespace, '^[^.]*\\.[^.]*') = a.module JOIN f b ON regexp_extract(dep, '^[^.]*\\.[^.]*') = b.module WHERE a.module <> '' AND b.module <> '' AND a.file <> b.file GROUP BY 1, 2"""
 )
 def file_adjacency(s, d):
+    """Relations between files, a name belonging to the file of its module (its first two segments)."""
     from codestrata.operators.relational import first_wins
 
-    f = first_wins(B.method_names(s, d).where("file is not null and name is not null"), ["name"], ["id"], ["file"])
-    e = B.dependencies(s, d).select("namespace", "dep").distinct()
-    e = e.join(f.select(F.col("name").alias("namespace"), F.col("file").alias("src_file")), "namespace").join(f.select(F.col("name").alias("dep"), F.col("file").alias("dst_file")), "dep")
-    return e.where("src_file <> dst_file").groupBy("src_file", "dst_file").agg(F.count("*").alias("n"))
+    module = lambda c: F.regexp_extract(c, r"^[^.]*\.[^.]*", 0)
+    named = B.method_names(s, d).where("file is not null and name is not null").withColumn("module", module("name"))
+    f = first_wins(named, ["module"], ["id"], ["file"]).where("module <> ''")
+    e = B.dependencies(s, d).select("namespace", "dep").distinct().select(module("namespace").alias("a"), module("dep").alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    e = e.join(f.select(F.col("module").alias("a"), F.col("file").alias("src_file")), "a").join(f.select(F.col("module").alias("b"), F.col("file").alias("dst_file")), "b")
+    return e.where("src_file <> dst_file").groupBy("src_file", "dst_file").agg(F.sum("n").alias("n"))
 
 
 @query(f"WITH {B.CODE_GRAPH} SELECT src, array_to_string(list_sort(list_distinct(list(dst))), '|') AS targets FROM edges GROUP BY src")
@@ -269,8 +281,8 @@ def collapse_inner(s, d):
 
 
 @query(
-    f"""WITH RECURSIVE {B.DEPENDENCIES}, e AS (SELECT DISTINCT dep AS src, regexp_replace(dep, '\\.?[^.]*$', '') AS dst FROM deps WHERE contains(dep, '.')), p AS (SELECT src, dst FROM e UNION SELECT DISTINCT dst, regexp_replace(dst, '\\.?[^.]*$', '') FROM e WHERE contains(dst, '.')),
-    q AS (SELECT src, dst FROM p UNION SELECT DISTINCT dst, regexp_replace(dst, '\\.?[^.]*$', '') FROM p WHERE contains(dst, '.')), c(src, dst, depth) AS (SELECT src, dst, 1 FROM q UNION SELECT c.src, q.dst, depth + 1 FROM c JOIN q ON c.dst = q.src WHERE depth < 12)
+    f"""WITH RECURSIVE {B.DEPENDENCIES}, p AS (SELECT DISTINCT string_split(dep, '.') AS p FROM deps WHERE contains(dep, '.')), q AS MATERIALIZED (SELECT DISTINCT array_to_string(p[1:k], '.') AS src, array_to_string(p[1:k - 1], '.') AS dst FROM (SELECT p, unnest(range(2, len(p) + 1)) AS k FROM p)),
+    c(src, dst, depth) AS (SELECT src, dst, 1 FROM q UNION SELECT c.src, q.dst, depth + 1 FROM c JOIN q ON c.dst = q.src)
     SELECT src, dst, CAST(min(depth) AS BIGINT) AS depth FROM c GROUP BY 1, 2"""
 )
 def ancestor_closure(s, d):
@@ -278,7 +290,7 @@ def ancestor_closure(s, d):
     parts = B.dependencies(s, d).select(F.split("dep", r"\.").alias("p")).where(F.size("p") > 1).distinct()
     name = lambda n: F.array_join(F.slice("p", F.lit(1), n), ".")
     e = parts.select("p", F.explode(F.sequence(F.lit(2), F.size("p"))).alias("k")).select(name(F.col("k")).alias("src"), name(F.col("k") - 1).alias("dst"))
-    return G.closure(e, None).select("src", "dst", F.col("depth").cast("long").alias("depth"))
+    return G.closure(e).select("src", "dst", F.col("depth").cast("long").alias("depth"))
 
 
 @query(

@@ -256,13 +256,14 @@ def name_or_symbol_join(s, d):
 
 
 @query(
-    f"""WITH {B.DEPENDENCIES}, {B.NAMES}, q AS (SELECT DISTINCT regexp_replace(dep, '^[^.]*\\.', '') AS q FROM deps), n AS (SELECT DISTINCT name FROM names WHERE name IS NOT NULL),
+    f"""WITH {B.DEPENDENCIES}, q AS (SELECT DISTINCT regexp_replace(h, '^[^.]*\\.', '') AS q FROM (SELECT unnest(final_stage.hit_dependencies) AS h FROM agent_result) WHERE h IS NOT NULL), n AS (SELECT DISTINCT dep AS name FROM deps),
     x AS (SELECT name, unnest(range(0, len(string_split(name, '.')))) AS extra FROM n), y AS (SELECT name, extra, array_to_string(string_split(name, '.')[extra + 1:], '.') AS suffix FROM x)
     SELECT q, arg_min(name, (extra, name)) AS name, CAST(min(extra) AS BIGINT) AS extra FROM q JOIN y ON q = suffix GROUP BY q"""
 )
 def suffix_match_lookup(s, d):
-    q = B.dependencies(s, d).select(T.drop_first_part("dep").alias("q"))
-    return R.suffix_lookup(q, "q", B.method_names(s, d).where("name is not null"), "name")
+    """Dependencies that runs hit, without their root, looked up among all that tasks name."""
+    hits = table(s, d, "agent_result", "final_stage").select(F.explode("final_stage.hit_dependencies").alias("h")).where("h is not null")
+    return R.suffix_lookup(hits.select(T.drop_first_part("h").alias("q")), "q", B.dependencies(s, d).select(F.col("dep").alias("name")), "name")
 
 
 @query("SELECT coalesce(a.run_id, b.run_id) AS run_id, CASE WHEN b.run_id IS NULL THEN 'missing' ELSE 'unexpected' END AS side FROM (SELECT DISTINCT run_id FROM agent_result) a FULL OUTER JOIN (SELECT DISTINCT run_id FROM job_summary) b ON a.run_id = b.run_id WHERE a.run_id IS NULL OR b.run_id IS NULL")
