@@ -80,12 +80,12 @@ def doc_freq_topk(s, d):
 
 @query(bm25_sql(CODE_D, TASK_Q, rank_sql(15), BOTH))
 def bm25_code_topk(s, d):
-    return R.top_k(R.bm25(_code_docs(s, d), _task_queries(s, d)), 15).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score")
+    return R.bm25_top(_code_docs(s, d), _task_queries(s, d), 15).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score")
 
 
 @query(bm25_sql(SIG_D, TASK_Q, rank_sql(15), BOTH))
 def bm25_signature_topk(s, d):
-    return R.top_k(R.bm25(_sig_docs(s, d), _task_queries(s, d)), 15).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score")
+    return R.bm25_top(_sig_docs(s, d), _task_queries(s, d), 15).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score")
 
 
 DOC_D = "SELECT doc_id AS doc, " + sql_words("coalesce(text, '')") + " AS tokens FROM documents"
@@ -94,7 +94,7 @@ DOC_D = "SELECT doc_id AS doc, " + sql_words("coalesce(text, '')") + " AS tokens
 @query(bm25_sql(DOC_D, TASK_Q, rank_sql(10), B.TASKS))
 def bm25_documents_topk(s, d):
     docs = table(s, d, "documents", "doc_id", "text").select(F.col("doc_id").alias("doc"), T.words(F.coalesce("text", F.lit(""))).alias("tokens"))
-    return R.top_k(R.bm25(docs, _task_queries(s, d)), 10).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score")
+    return R.bm25_top(docs, _task_queries(s, d), 10).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score")
 
 
 @query(
@@ -150,7 +150,7 @@ def bm25_grid_k(s, d):
     """Tasks that find their own method among the first k."""
     n = B.method_names(s, d).select(F.col("id").alias("doc"), "name")
     t = B.tasks(s, d, "namespace").select(F.col("example_id").alias("query"), F.col("namespace").alias("target"))
-    r = R.top_k(R.bm25(_code_docs(s, d), _task_queries(s, d)), 20).join(n, "doc").join(t, "query")
+    r = R.bm25_top(_code_docs(s, d), _task_queries(s, d), 20).join(n, "doc").join(t, "query")
     ks = F.filter(F.array(*(F.lit(k).cast("long") for k in (5, 10, 15, 20))), lambda k: k >= F.col("rank"))
     x = r.select("query", F.coalesce(F.col("name") == F.col("target"), F.lit(False)).alias("hit"), F.explode(ks).alias("k"))
     return x.groupBy("k").agg(F.count_distinct(F.when(F.col("hit"), F.col("query"))).alias("hits"))
@@ -167,10 +167,9 @@ PROJECT = f"lower(replace({B.sql_strip('project_path')}, '\\', '/'))"
 def gated_bm25(s, d):
     """Documents of the task's project only: the gate is joined before the rank."""
     raw = table(s, d, "documents", "doc_id", "text", "project_path")
-    docs = raw.select(F.col("doc_id").alias("doc"), T.words(F.coalesce("text", F.lit(""))).alias("tokens"))
-    gate = raw.select(F.col("doc_id").alias("doc"), T.project_key("project_path").alias("p"))
-    t = B.tasks(s, d, "project_path").select(F.col("example_id").alias("query"), T.project_key("project_path").alias("p"))
-    return R.top_k(R.bm25(docs, _task_queries(s, d)).join(t, "query").join(gate, ["doc", "p"]), 5).select("query", "doc", F.col("rank").cast("long").alias("rank"), "score")
+    docs = raw.select(F.col("doc_id").alias("doc"), T.words(F.coalesce("text", F.lit(""))).alias("tokens"), T.project_key("project_path").alias("p"))
+    q = _task_queries(s, d, "project_path").select("query", "tokens", T.project_key("project_path").alias("p"))
+    return R.bm25_top(docs, q, 5, "p").select("query", "doc", F.col("rank").cast("long").alias("rank"), "score")
 
 
 VEC = "v AS MATERIALIZED (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))"
@@ -183,8 +182,8 @@ def _vectors(s, d):
 @query(f"WITH {VEC}, x AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_dot_product(a.v, b.v), 6) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id) SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM x) WHERE rank <= 10")
 def cosine_topk(s, d):
     v = _vectors(s, d)
-    scores = R.cosine_scores(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "v"), v.select(F.col("vec_id").alias("doc"), "v")).where("query <> doc")
-    return R.top_k(scores, 10).withColumn("rank", F.col("rank").cast("long"))
+    found = R.cosine_top(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "v"), v.select(F.col("vec_id").alias("doc"), "v"), 10, True)
+    return found.select("query", "doc", "score", "rank").withColumn("rank", F.col("rank").cast("long"))
 
 
 CENTROIDS = """c AS MATERIALIZED (SELECT label AS doc, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(v[i]) AS m FROM v, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY label),
@@ -230,9 +229,9 @@ def forced_cluster_topk(s, d):
     SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) WHERE rank <= 10"""
 )
 def hybrid_minmax(s, d):
-    q = _task_queries(s, d)
-    a, b = (R.bm25(x, q).withColumn("score", F.round("score", 9)) for x in (_code_docs(s, d), _sig_docs(s, d)))
-    return R.top_k(R.fused(a, b), 10).withColumn("rank", F.col("rank").cast("long"))
+    m = B.methods(s, d, "method_code", "method_signature")
+    docs = m.select(F.col("id").alias("doc"), T.words(F.coalesce("method_code", F.lit(""))).alias("a"), T.signature_words("method_signature").alias("b"))
+    return R.hybrid_top(docs, _task_queries(s, d), 10).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
 
 
 SENTENCES = f"SELECT example_id * 100 + n AS query, {sql_words('part')} AS tokens FROM (SELECT example_id, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS n FROM (SELECT example_id, string_split(coalesce(requirement.Functionality, ''), '. ') AS parts FROM tasks WHERE example_id % 50 = 0))"
@@ -244,7 +243,7 @@ def multi_query_union(s, d):
     t = B.tasks(s, d, "requirement").where("example_id % 50 = 0")
     parts = t.select("example_id", F.posexplode(F.split(F.coalesce("requirement.Functionality", F.lit("")), r"\. ")).alias("p", "part"))
     q = parts.select((F.col("example_id") * 100 + F.col("p") + 1).alias("query"), T.words("part").alias("tokens"))
-    return R.top_k(R.bm25(_code_docs(s, d), q), 3).select(F.floor(F.col("query") / 100).cast("long").alias("query"), "doc").distinct()
+    return R.bm25_top(_code_docs(s, d), q, 3).select(F.floor(F.col("query") / 100).cast("long").alias("query"), "doc").distinct()
 
 
 @query(
@@ -254,8 +253,9 @@ def multi_query_union(s, d):
 def budget_matched_topk(s, d):
     """As many methods as the task has dependencies."""
     k = B.dependencies(s, d).groupBy(F.col("example_id").alias("query")).agg(F.count_distinct("dep").alias("budget"))
-    w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 6)), "doc")
-    r = R.bm25(_code_docs(s, d), _task_queries(s, d)).join(k, "query").withColumn("rank", F.row_number().over(w))
+    q = _task_queries(s, d)
+    most = k.join(q.select("query"), "query").agg(F.max("budget")).first()[0] or 0
+    r = R.bm25_top(_code_docs(s, d), q, most).join(k, "query")
     return r.where("rank <= budget").select("query", "doc", F.col("rank").cast("long").alias("rank"))
 
 

@@ -141,7 +141,7 @@ def test_pagerank(spark):
 def test_paths(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src int, dst int")
     assert rows(G.closure(e), "src", "dst") == set(itertools.product((1, 2, 3), (1, 2, 3, 4)))
-    assert rows(G.shortest_paths(e, spark.createDataFrame([(1,)], "node int"), 3)) == {(1, 0), (2, 1), (3, 1), (4, 2)}
+    assert rows(G.shortest_paths(e, spark.createDataFrame([(1,)], "node int"))) == {(1, 0), (2, 1), (3, 1), (4, 2)}
 
 
 def test_clustering(spark):
