@@ -152,3 +152,45 @@ def filled(template: str, **values: Column) -> Column:
     for name, value in values.items():
         out = F.replace(out, F.lit("{" + name + "}"), F.coalesce(value, F.lit("")))
     return out
+
+
+def patched_lines(x: str | Column, start: Column, end: Column, new: Column) -> Column:
+    """The text with the lines ``start`` to ``end``, counted from 1, replaced by ``new``; null in any of them gives null."""
+    lines = F.split(_c(x), "\n")
+    return F.array_join(F.concat(F.slice(lines, F.lit(1), F.greatest(start - 1, F.lit(0))), F.array(new), F.slice(lines, end + 1, F.greatest(F.size(lines) - end, F.lit(0)))), "\n")
+
+
+def log_space(low: float, high: float, n: int) -> Column:
+    """``n`` numbers from 10^low to 10^high, evenly spaced in their logarithm; one number is 10^low."""
+    step = (high - low) / max(1, n - 1)
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.pow(F.lit(10.0), F.lit(low) + i * F.lit(step)))
+
+
+def parameters(x: str | Column) -> Column:
+    """Names of the parameters of a signature, without what follows ":" or "=" and without stars, ``self`` and ``cls``. Commas inside
+    brackets of defaults part parameters as well."""
+    inside = F.regexp_extract(_c(x), r"(?s)\((.*)\)", 1)
+    names = F.transform(F.split(inside, ","), lambda p: F.regexp_replace(strip(F.regexp_extract(p, r"(?s)^([^:=]*)", 1)), r"^[*/]+", ""))
+    return F.filter(names, lambda p: (p != "") & ~p.isin("self", "cls"))
+
+
+def fits_arity(signature: str | Column, arguments: str | Column) -> Column:
+    """True if a call with that many arguments can be meant: no more than the parameters, no fewer than those without a default; any
+    number above that where the signature has a star."""
+    s = _c(signature)
+    defaults = F.size(F.filter(F.split(F.regexp_extract(s, r"(?s)\((.*)\)", 1), ","), lambda p: p.contains("=")))
+    n, star = F.size(parameters(s)), s.contains("*")
+    least = n - defaults - F.when(star, 1).otherwise(0)
+    return (_c(arguments) >= least) & ((_c(arguments) <= n) | star)
+
+
+def short_description(file: str | Column, signature: str | Column) -> Column:
+    """``file.method(parameters)``: the file without its folders and ending."""
+    base = F.regexp_extract(_c(file), r"([^/]*?)(?:\.py)?$", 1)
+    return F.concat(base, F.lit("."), last_part(F.substring_index(_c(signature), "(", 1)), F.lit("("), F.array_join(parameters(signature), ", "), F.lit(")"))
+
+
+def redacted(x: str | Column, secret: str | Column, mark: str = "***") -> Column:
+    """The text with every occurrence of a secret as ``mark``; null and empty secrets hide nothing."""
+    s = F.coalesce(_c(secret), F.lit(""))
+    return F.when(s == "", _c(x)).otherwise(F.replace(_c(x), s, F.lit(mark)))

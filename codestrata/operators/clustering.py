@@ -192,3 +192,41 @@ def merge_tiny(pairs: DataFrame, labels: DataFrame, tiny: int = 3, passes: int =
         return pd.DataFrame({"group": part.group.iloc[0], "id": list(label), "label": list(label.values())})
 
     return both.groupBy("group").applyInPandas(run, f"group {kind}, id long, label long")
+
+
+def consensus(together: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """(group, id, label): members (group, id) connected by pairs (group, i, j, w) that are together in at least ``threshold`` of the
+    runs; the label is the smallest member. Members without such a pair are alone."""
+    from codestrata.operators.components import connected_components
+
+    node = lambda c: F.struct("group", F.col(c).alias("id"))
+    strong = together.where(F.col("w") >= threshold - 1e-9)
+    found = connected_components(strong.select(node("i").alias("a"), node("j").alias("b"))).select("node.group", "node.id", F.col("component.id").alias("label"))
+    return members.select("group", "id").distinct().join(found, ["group", "id"], "left").withColumn("label", F.coalesce("label", "id"))
+
+
+def silhouette(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(group, silhouette): mean over the members of (b - a) / max(a, b), with distances 1 - w of the pairs (group, i, j, w): a to the own
+    cluster, b to the nearest other one. Members alone in their cluster count 0; groups of one cluster have none. Distances are
+    summed by member and cluster before anything is compared."""
+    both = pairs.select("group", "i", "j", (1 - F.col("w")).alias("dist"))
+    both = both.unionByName(both.select("group", F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
+    to = both.join(labels.select("group", F.col("id").alias("j"), F.col("label").alias("other")), ["group", "j"]).groupBy("group", "i", "other").agg(F.avg("dist").alias("d"))
+    x = labels.select("group", F.col("id").alias("i"), "label").join(to, ["group", "i"])
+    own = x.groupBy("group", "i").agg(F.max(F.when(F.col("other") == F.col("label"), F.col("d"))).alias("a"), F.min(F.when(F.col("other") != F.col("label"), F.col("d"))).alias("b")).where("b is not null")
+    most = F.greatest("a", "b")
+    value = F.when(F.col("a").isNull() | (most == 0), 0.0).otherwise((F.col("b") - F.col("a")) / F.when(most != 0, most))
+    return own.groupBy("group").agg(F.round(F.avg(value), 6).alias("silhouette"))
+
+
+def scaled_finite(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """With ``name``: the value scaled to 0..1 between the finite bounds of its group; 0 in a constant group, and for what is not finite."""
+    finite = F.when(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.col(value))
+    bounds = df.groupBy(*by).agg(F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+    span = F.col("_hi") - F.col("_lo")
+    return df.join(bounds, by).withColumn(name, F.coalesce(F.when(span > 0, (finite - F.col("_lo")) / F.when(span > 0, span)), F.lit(0.0))).drop("_lo", "_hi")
+
+
+def members_of(labels: DataFrame) -> DataFrame:
+    """(group, label, n, members): members in order. A list is as long as its cluster."""
+    return labels.groupBy("group", "label").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("members"))

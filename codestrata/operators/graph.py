@@ -210,3 +210,21 @@ def difference(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, side): edges of one graph that the other lacks."""
     a, b = base.select(*keys).distinct(), other.select(*keys).distinct()
     return a.join(b, keys, "left_anti").withColumn("side", F.lit("base only")).unionByName(b.join(a, keys, "left_anti").withColumn("side", F.lit("other only")))
+
+
+def masked(nodes: DataFrame, edges: DataFrame, targets: DataFrame, group: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (group, node) and edges (group, src, dst, kind) without the ``target`` of their group and without what lies inside it. Both
+    adjacencies follow from the edges, so none of them keeps a trace of the target. A group without a target stays whole."""
+    from codestrata.operators.relational import outside
+
+    kept = nodes.join(targets, group, "left").where(F.col("target").isNull() | outside("node", "target")).drop("target")
+    ends = edges.join(targets, group, "left").where(F.col("target").isNull() | (outside("src", "target") & outside("dst", "target"))).drop("target")
+    return kept, ends
+
+
+def restart_weights(similar: DataFrame, bonus: DataFrame, group: str) -> DataFrame:
+    """(group, node, w): restart weights that sum to 1 in each group: the similarity (group, node, sim), not below 0, and the ``bonus`` (group,
+    node, bonus) of the nodes that have one; all alike where everything is 0. Null similarities count as 0."""
+    raw = similar.join(bonus, [group, "node"], "left").select(group, "node", (F.greatest(F.lit(0.0), F.coalesce("sim", F.lit(0.0))) + F.coalesce("bonus", F.lit(0.0))).alias("w"))
+    whole = raw.groupBy(group).agg(F.sum("w").alias("s"), F.count("*").alias("n"))
+    return raw.join(whole, group).select(group, "node", F.when(F.col("s") > 0, F.col("w") / F.when(F.col("s") > 0, F.col("s"))).otherwise(1 / F.col("n")).alias("w"))

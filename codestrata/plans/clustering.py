@@ -148,3 +148,60 @@ def feature_ids(s, d):
     """Numbered groups of methods; the groups, not the methods, are numbered."""
     g = B.methods(s, d, "func_file").where("func_file is not null").groupBy("func_file").agg(F.count("*").alias("members"), F.min("id").alias("first"))
     return number_in_order(g, ["func_file"], "feature").select("feature", "func_file", "members", "first")
+
+
+def _three_runs(s, d):
+    e = table(s, d, "embeddings", "vec_id", "label").select(F.col("label").alias("group"), F.col("vec_id").alias("id"))
+    runs = [F.col("id") % 40, F.col("id") % 20, F.floor(F.col("id") % 40 / 2)]
+    return e, e.select("group", "id", F.explode(F.array(*(F.struct(F.lit(i).alias("run"), r.cast("long").alias("label")) for i, r in enumerate(runs)))).alias("r")).select("group", "id", "r.run", "r.label")
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT label AS g, vec_id AS id, 0 AS run, vec_id % 40 AS l FROM embeddings UNION ALL SELECT label, vec_id, 1, vec_id % 20 FROM embeddings UNION ALL SELECT label, vec_id, 2, vec_id % 40 // 2 FROM embeddings),
+    p AS (SELECT a.g, a.id AS i, b.id AS j FROM r a JOIN r b ON a.g = b.g AND a.run = b.run AND a.l = b.l AND a.id < b.id GROUP BY ALL HAVING count(*) / 3.0 >= 0.6 - 1e-9), e AS MATERIALIZED (SELECT g, i, j FROM p UNION SELECT g, j, i FROM p),
+    c(g, i, j) AS (SELECT label, vec_id, vec_id FROM embeddings UNION SELECT c.g, c.i, e.j FROM c JOIN e ON c.g = e.g AND c.j = e.i)
+    SELECT g AS "group", i AS id, min(j) AS label FROM c GROUP BY 1, 2"""
+)
+def consensus_clusters(s, d):
+    """Clusters of the members that are together in two of three partitions, directly or by way of others."""
+    e, runs = _three_runs(s, d)
+    return C.consensus(C.coassociation(runs, 3), e, 0.6)
+
+
+@query(
+    f"""WITH {PAIRS}, {LAB}, b AS (SELECT g, i, j, 1 - w AS d FROM p UNION ALL SELECT g, j, i, 1 - w FROM p), t AS (SELECT b.g, b.i, l.c AS other, avg(d) AS d FROM b JOIN lab l ON b.g = l.g AND b.j = l.id GROUP BY ALL),
+    o AS (SELECT l.g, l.id, max(d) FILTER (other = c) AS a, min(d) FILTER (other <> c) AS b FROM lab l JOIN t ON l.g = t.g AND l.id = t.i GROUP BY ALL)
+    SELECT g AS "group", round(avg(CASE WHEN a IS NULL OR greatest(a, b) = 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM o WHERE b IS NOT NULL GROUP BY g"""
+)
+def cluster_silhouette(s, d):
+    g = _grouped(s, d)
+    return C.silhouette(C.similarity_pairs(g), g.select("group", "id", (F.col("id") % 4).alias("label")))
+
+
+@query(
+    f"""WITH {PAIRS}, {LAB}, x AS (SELECT p.g, avg(w) FILTER (a.c = b.c) AS intra, avg(w) FILTER (a.c <> b.c) AS inter FROM p JOIN lab a ON p.g = a.g AND p.i = a.id JOIN lab b ON p.g = b.g AND p.j = b.id GROUP BY p.g), n AS (SELECT g, count(*) AS m, max(k) AS most FROM (SELECT g, c, count(*) AS k FROM lab GROUP BY ALL) GROUP BY g),
+    y AS (SELECT g, intra - inter AS sep, m, most FROM x JOIN n USING (g)) SELECT g AS "group", round(CASE WHEN max(sep) OVER () > min(sep) OVER () THEN (sep - min(sep) OVER ()) / (max(sep) OVER () - min(sep) OVER ()) ELSE 0 END * 0.45 + 0.45 / m - 0.1 / most, 6) AS score FROM y"""
+)
+def combined_score(s, d):
+    """Separation, scaled over the groups, and numbers of clusters and of members in one score, with the weights of the engine's sweep."""
+    g = _grouped(s, d)
+    lab = g.select("group", "id", (F.col("id") % 4).alias("label"))
+    at = lambda c, n: lab.select("group", F.col("id").alias(c), F.col("label").alias(n))
+    p = C.similarity_pairs(g).join(at("i", "a"), ["group", "i"]).join(at("j", "b"), ["group", "j"])
+    x = p.groupBy("group").agg((F.avg(F.when(F.col("a") == F.col("b"), F.col("w"))) - F.avg(F.when(F.col("a") != F.col("b"), F.col("w")))).alias("sep"))
+    n = lab.groupBy("group", "label").agg(F.count("*").alias("k")).groupBy("group").agg(F.count("*").alias("m"), F.max("k").alias("most"))
+    scaled = C.scaled_finite(x.withColumn("all", F.lit(1)), ["all"], "sep", "z")  # one row a group
+    return scaled.join(n, "group").select("group", F.round(F.col("z") * 0.45 + 0.45 / F.col("m") - 0.1 / F.col("most"), 6).alias("score"))
+
+
+@query("""SELECT label AS "group", vec_id % 4 AS label, CAST(count(*) AS BIGINT) AS n, array_to_string(list_sort(list(vec_id)), ',') AS members FROM embeddings GROUP BY label, vec_id % 4""")
+def cluster_members(s, d):
+    e = table(s, d, "embeddings", "vec_id", "label")
+    return C.members_of(e.select(F.col("label").alias("group"), F.col("vec_id").alias("id"), (F.col("vec_id") % 4).alias("label")))
+
+
+@query(f"WITH {B.CODE_GRAPH}, x AS (SELECT DISTINCT least(src, dst) AS i, greatest(src, dst) AS j, regexp_replace(src, '\\.?[^.]*$', '') AS owner FROM edges WHERE src <> dst AND regexp_replace(src, '\\.?[^.]*$', '') = regexp_replace(dst, '\\.?[^.]*$', '')) SELECT owner, i, j, CAST(1 AS BIGINT) AS w FROM x")
+def call_links(s, d):
+    """Symmetric links of 1 between functions of one owner of which one uses the other."""
+    e = B.code_edges(s, d).where("src <> dst").where(T.parent_part("src") == T.parent_part("dst"))
+    return e.select(T.parent_part("src").alias("owner"), F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"), F.lit(1).cast("long").alias("w")).distinct()

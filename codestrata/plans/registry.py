@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codestrata.plans import catalog, clustering, evaluation, functions, graph, records, relational, retrieval, streams  # noqa: F401
+from codestrata.plans import catalog, clustering, evaluation, functions, graph, records, relational, reports, retrieval, streams  # noqa: F401
 
 FLAGSHIP = "bm25_documents_topk"
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codestrata.functions import text as T
+from codestrata.operators import graph as G
 from codestrata.operators import retrieval as R
 from codestrata.plans import base as B
 from codestrata.plans.catalog import query
@@ -203,6 +204,49 @@ def centroid_topk(s, d):
     return R.top_k(_cluster_scores(s, d)[0], 3).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(
+    f"""WITH {VEC}, {CENTROIDS}, g AS (SELECT query, doc AS label FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, doc) AS r FROM sc) WHERE r <= 3),
+    x AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN g ON g.query = a.vec_id JOIN v b ON b.label = g.label WHERE a.vec_id <> b.vec_id)
+    SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM x) WHERE rank <= 10"""
+)
+def gated_dense(s, d):
+    """The ten nearest vectors in the three clusters whose centroids are nearest."""
+    v = _vectors(s, d)
+    gates = R.top_k(_cluster_scores(s, d)[0], 3).select("query", F.col("doc").alias("gate"))
+    q, docs = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "v"), v.select(F.col("vec_id").alias("doc"), "v", F.col("label").alias("gate"))
+    return R.cosine_top(q, docs, 10, True, gates).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
+
+
+TITLE_Q = "SELECT doc_id AS query, " + sql_words("coalesce(title, '')") + " AS tokens FROM documents WHERE doc_id % 50 = 0"
+
+
+@query(
+    bm25_sql(DOC_D, TITLE_Q, f""", c AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_dot_product(a.v, b.v), 9) AS score FROM v a, v b WHERE a.vec_id % 50 = 0 AND a.vec_id IN (SELECT doc_id FROM documents) AND b.vec_id IN (SELECT doc_id FROM documents)),
+    m AS (SELECT query, doc, coalesce(round(s.score, 9), 0) AS a, coalesce(c.score, 0) AS b FROM scores s FULL OUTER JOIN c USING (query, doc)), w AS (SELECT *, min(a) OVER p AS la, max(a) OVER p AS ha, min(b) OVER p AS lb, max(b) OVER p AS hb FROM m WINDOW p AS (PARTITION BY query)),
+    f AS (SELECT query, doc, round(0.5 * CASE WHEN ha > la THEN (a - la) / (ha - la) WHEN a > 0 THEN 1 ELSE 0 END + 0.5 * CASE WHEN hb > lb THEN (b - lb) / (hb - lb) WHEN b > 0 THEN 1 ELSE 0 END, 6) AS score FROM w)
+    SELECT query, doc, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM f) WHERE rank <= 10""", VEC)
+)
+def hybrid_dense(s, d):
+    """Titles against texts, BM25 with the cosine of the vectors of the same ids."""
+    v = _vectors(s, d).select(F.col("vec_id").alias("doc"), "v")
+    raw = table(s, d, "documents", "doc_id", "text", "title").select(F.col("doc_id").alias("doc"), T.words(F.coalesce("text", F.lit(""))).alias("tokens"), T.words(F.coalesce("title", F.lit(""))).alias("asked")).join(v, "doc", "left")
+    q = raw.where("doc % 50 = 0").select(F.col("doc").alias("query"), F.col("asked").alias("tokens"), "v")
+    return R.hybrid_dense_top(raw.drop("asked"), q, 10).select("query", "doc", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""WITH {VEC}, x AS (SELECT a.vec_id AS query, b.vec_id AS node, greatest(0, list_dot_product(a.v, b.v)) + CASE WHEN abs(a.vec_id - b.vec_id) = 1 THEN 0.1 ELSE 0 END AS w FROM v a JOIN v b ON a.label = b.label WHERE a.vec_id % 50 = 0)
+    SELECT query, node, round(CASE WHEN sum(w) OVER p > 0 THEN w / sum(w) OVER p ELSE 1.0 / count(*) OVER p END, 6) AS w FROM x WINDOW p AS (PARTITION BY query)"""
+)
+def restart_vector(s, d):
+    """Restart weights of every query vector over the vectors of its module: cosines, not below 0, with a bonus for its neighbors by id."""
+    v = _vectors(s, d)
+    a = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), "label", F.col("v").alias("q"))
+    sims = a.join(v, "label").select("query", F.col("vec_id").alias("node"), R.dot("q", "v").alias("sim"))
+    bonus = a.select("query", F.explode(F.array(F.col("query") - 1, F.col("query") + 1)).alias("node")).withColumn("bonus", F.lit(0.1))
+    return G.restart_weights(sims, bonus, "query").withColumn("w", F.round("w", 6))
+
+
 @query(
     f"""WITH {VEC}, {CENTROIDS}, f AS (SELECT *, CASE WHEN query % 100 = 0 THEN label END AS forced FROM sc), r AS (SELECT query, doc, round(score, 6) AS score, coalesce(doc = forced, FALSE) AS is_forced, forced FROM f),
     x AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY is_forced DESC, score DESC, doc) AS rank FROM r)
