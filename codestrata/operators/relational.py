@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from codestrata.functions.text import strip
+from codestrata.session import cut
 
 
 def first_wins(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
@@ -98,16 +99,18 @@ def not_done(todo: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def containment_join(texts: DataFrame, text: str, parts: DataFrame, part: str, gram: int = 3) -> DataFrame:
-    """Pairs where ``part`` stands in ``text``. Parts meet texts through their first ``gram`` characters as an equi-key
-    and are then verified; shorter parts meet substrings of their own length. Empty parts match nothing."""
-    t = texts.where(F.col(text).isNotNull())
-    p = parts.where(F.length(part) > 0)
-    key_len = F.least(F.length(part), F.lit(gram))
-    keyed = p.withColumn("_g", F.substring(F.col(part), 1, gram)).withColumn("_l", key_len)
-    at = F.sequence(F.lit(1), F.length(text))
-    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.when(i + n - 1 <= F.length(text), F.substring(F.col(text), i, n))))))
-    cut_up = t.where(F.length(text) > 0).withColumn("_g", F.explode(F.filter(grams, lambda x: x.isNotNull())))
-    return cut_up.join(keyed, "_g").where(F.col(text).contains(F.col(part))).drop("_g", "_l")
+    """Pairs where ``part`` stands in ``text``. Parts meet texts through their first ``gram`` characters as an equi-key; shorter parts meet
+    substrings of their own length. Only numbers of the different texts travel with their substrings; a text joins each of its pairs
+    once, to be verified. Empty parts match nothing."""
+    t = texts.where(F.length(text) > 0)
+    numbered = cut(t.select(F.col(text).alias("_t")).distinct().withColumn("_i", F.monotonically_increasing_id()), "texts")
+    p = parts.where(F.length(part) > 0).select(F.col(part).alias("_q")).distinct()
+    at = F.sequence(F.lit(1), F.length("_t"))
+    grams = F.array_distinct(F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), F.lit(gram)), lambda n: F.when(i + n - 1 <= F.length("_t"), F.substring(F.col("_t"), i, n))))))
+    cut_up = numbered.select("_i", F.explode(F.filter(grams, lambda x: x.isNotNull())).alias("_g"))
+    met = cut_up.join(p.withColumn("_g", F.substring("_q", 1, gram)), "_g").select("_i", "_q")
+    pairs = met.join(numbered, "_i").where(F.col("_t").contains(F.col("_q"))).select("_t", "_q")
+    return t.join(pairs, F.col(text) == F.col("_t")).join(parts, F.col("_q") == F.col(part)).drop("_t", "_q")
 
 
 def prefix_join(texts: DataFrame, text: str, prefixes: DataFrame, prefix: str) -> DataFrame:

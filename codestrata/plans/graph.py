@@ -246,8 +246,10 @@ def ambiguous_resolution(s, d):
     f"""WITH {B.DEPENDENCIES}, {B.NAMES}, m AS (SELECT DISTINCT split_part(name, '.', -1) AS short, name FROM names WHERE name IS NOT NULL) SELECT dep, CAST(count(*) AS BIGINT) AS targets, min(name) AS first FROM (SELECT DISTINCT dep FROM deps) JOIN m ON split_part(dep, '.', -1) = short GROUP BY dep"""
 )
 def same_name_fan_out(s, d):
+    """Methods of the same last segment. They are counted by it before the join, so a name that very many share is one row there."""
     m = B.method_names(s, d).where("name is not null").select(T.last_part("name").alias("short"), "name").distinct()
-    return B.dependencies(s, d).select("dep", T.last_part("dep").alias("short")).distinct().join(m, "short").groupBy("dep").agg(F.count("*").alias("targets"), F.min("name").alias("first"))
+    m = m.groupBy("short").agg(F.count("*").alias("targets"), F.min("name").alias("first"))
+    return B.dependencies(s, d).select("dep", T.last_part("dep").alias("short")).distinct().join(m, "short").select("dep", "targets", "first")
 
 
 @query(

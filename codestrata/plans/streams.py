@@ -10,7 +10,7 @@ from codestrata.streaming import jobs as J
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_tumbling_counts(s, d):
-    out = J.run_to_table(J.tumbling_counts(J.event_stream(s, d)), mode="complete")
+    out = J.run_updates(J.tumbling_counts(J.event_stream(s, d)), ["start", "event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

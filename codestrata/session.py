@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import glob
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -48,9 +50,17 @@ _own: list[str] = []
 def _process_dir() -> str:
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="codestrata-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return _own[0]
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that lineage was cut into by this application, once their readers are done: results that were not written
+    elsewhere cannot be read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later stages, and retries after
     a lost executor, start from the files instead of recomputing what led to them."""

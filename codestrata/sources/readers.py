@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import xml.sax.saxutils as _xml
-from collections.abc import Iterator
+import zipfile
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -161,3 +162,75 @@ def concatenated(spark: SparkSession, paths: list[str], schema: str) -> DataFram
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def write_atomic_json(df: DataFrame, path: str) -> None:
+    """Replace a folder of JSON lines as a whole: the new one is written beside it and renamed over it, so a reader finds either the old or
+    the new records."""
+    spark = df.sparkSession
+    df.write.mode("overwrite").json(f"{path}.new")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, old, kept = (jvm.org.apache.hadoop.fs.Path(x) for x in (f"{path}.new", path, f"{path}.old"))
+    fs = new.getFileSystem(conf)
+    fs.delete(kept, True)
+    if fs.exists(old):
+        fs.rename(old, kept)
+    fs.rename(new, old)
+    fs.delete(kept, True)
+
+
+def write_json_by(df: DataFrame, key: str, path: str) -> None:
+    """A folder a key, each with one record: the key and the list of its rows in order; rows of a key are one list."""
+    others = [c for c in df.columns if c != key]
+    df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("rows")).withColumn("_key", F.col(key)).write.mode("overwrite").partitionBy("_key").json(path)
+
+
+def markdown_table(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A report table: heading, columns, a line a row in the order of ``df``. For summaries: more than ``most`` rows are an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows are no report")
+    cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
+    lines = [df.columns, ["---"] * len(df.columns), *rows]
+    return f"## {title}\n\n" + "\n".join("| " + " | ".join(map(cell, r)) + " |" for r in lines) + "\n"
+
+
+def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = 1_000_000) -> None:
+    """Tables as the sheets of one workbook on the driver's disk, with a row of headings. A sheet has at most ``most`` rows; more are an error."""
+    escape, quoteattr = _xml.escape, _xml.quoteattr
+
+    def row(values: Iterator) -> str:
+        cells = (f"<c><v>{v}</v></c>" if isinstance(v, (int, float)) and not isinstance(v, bool) and v == v else f'<c t="inlineStr"><is><t xml:space="preserve">{escape("" if v is None else str(v))}</t></is></c>' for v in values)
+        return f"<row>{''.join(cells)}</row>"
+
+    head = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>'
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        n = range(1, len(sheets) + 1)
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in n)
+        z.writestr("[Content_Types].xml", f'{head}<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        links = "http://schemas.openxmlformats.org/package/2006/relationships"
+        z.writestr("_rels/.rels", f'{head}<Relationships xmlns="{links}"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'{head}<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{"".join(f"<sheet name={quoteattr(name)} sheetId=\"{i}\" r:id=\"r{i}\"/>" for i, name in zip(n, sheets))}</sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'{head}<Relationships xmlns="{links}">{"".join(f"<Relationship Id=\"r{i}\" Type=\"{rel}/worksheet\" Target=\"worksheets/sheet{i}.xml\"/>" for i in n)}</Relationships>')
+        for i, df in zip(n, sheets.values()):
+            with z.open(f"xl/worksheets/sheet{i}.xml", "w") as out:
+                out.write(f'{head}<worksheet xmlns="{main}"><sheetData>{row(df.columns)}'.encode())
+                for k, r in enumerate(df.toLocalIterator()):
+                    if k >= most:
+                        raise ValueError(f"more than {most} rows for one sheet")
+                    out.write(row(r).encode())
+                out.write(b"</sheetData></worksheet>")
+
+
+def memoized(df: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame], path: str) -> DataFrame:
+    """Results of ``compute`` for the rows of ``df``, kept in a table at ``path``: only rows whose key (the hash of the column ``key``) is not
+    there yet are computed, once a key, and appended. ``compute`` gets ``df`` with ``memo_key`` and must keep that column."""
+    keyed = df.withColumn("memo_key", F.sha2(F.col(key).cast("string"), 256))
+    spark = df.sparkSession
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = spark.read.parquet(path) if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target) else None
+    todo = keyed.dropDuplicates(["memo_key"])
+    todo = todo.join(known.select("memo_key"), "memo_key", "left_anti") if known is not None else todo
+    compute(todo).write.mode("append").parquet(path)
+    return keyed.select("memo_key").distinct().join(spark.read.parquet(path), "memo_key")

@@ -29,13 +29,28 @@ def run_to_table(stream: DataFrame, path: str | None = None, mode: str = "append
     return spark.read.parquet(f"{path}/out")
 
 
-def tumbling_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
-    """Running counts and sums of windows by type, rewritten as they grow."""
+def run_updates(stream: DataFrame, keys: list[str], path: str | None = None) -> DataFrame:
+    """Work off what is there in update mode: a batch appends the rows that it changed, with its number, and the table read back has the
+    last row of each key. Nothing is rewritten, and with a watermark the state holds no more than what may still change."""
+    spark = stream.sparkSession
+    path = path or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex[:12]}"
+    write = lambda df, batch: df.withColumn("_batch", F.lit(batch)).write.mode("overwrite").parquet(f"{path}/out/part={batch}")
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/out")
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "_batch").alias("_last")).select(*keys, "_last.*")
+
+
+def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 days") -> DataFrame:
+    """Counts and sums of windows by type. A window is closed, and its state dropped, once events are ``late`` past its end; rows that come
+    later still are left out."""
     w = F.window("ts", width)
-    return events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    return events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions of users. Session windows have no update mode: run to a table in complete mode this keeps every session in its state, for a
+    bounded backlog; with a watermark on ``events`` and append mode, closed sessions only."""
     w = F.session_window("ts", gap)
     return events.groupBy(w.alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 

@@ -153,3 +153,39 @@ def test_clustering(spark):
     labels = spark.createDataFrame([(0, 1, 1), (0, 2, 1), (0, 3, 3), (0, 4, 4)], "group long, id long, label long")
     merged = {r.id: r.label for r in C.merge_tiny(pairs, labels, 2).collect()}
     assert merged[3] == merged[4] != merged[1]
+
+
+def test_bm25_top(spark):
+    """The matrix way and the join way agree; ties go by document; null and empty token lists, words that no document has."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(30)]
+    docs = [(i, rng.choices(vocab, k=rng.randint(1, 12)), rng.choice("pq")) for i in range(200)] + [(300, None, "p"), (301, [], "q"), (302, ["w1"], None), (303, ["w1"], "p"), (304, ["w1"], "p")]
+    d = spark.createDataFrame(docs, "doc long, tokens array<string>, gate string")
+    q = spark.createDataFrame([(1, ["w1", "w2", "w1"], "p"), (2, ["none"], "q"), (3, [], "p"), (4, ["w5", "none"], None), (5, None, "q")], "query long, tokens array<string>, gate string")
+    key = lambda df: {(r.query, r.doc, r["rank"], r.score) for r in df.collect()}
+    want = Q.top_k(Q.bm25(d.select("doc", "tokens"), q), 7)
+    assert key(Q.bm25_top(d, q, 7)) == key(want) and {r.query for r in want.collect()} == {1, 4}
+    gated = Q.bm25(d.select("doc", "tokens"), q).join(q.select("query", "gate"), "query").join(d.select("doc", "gate"), ["doc", "gate"])
+    assert key(Q.bm25_top(d, q, 7, "gate")) == key(Q.top_k(gated, 7))
+    assert Q.bm25_top(d.limit(0), q, 3).count() == Q.bm25_top(d, q.limit(0), 3).count() == 0
+    both = d.select("doc", F.col("tokens").alias("a"), F.slice(F.coalesce("tokens", F.array()), 1, 2).alias("b"))
+    sides = [Q.bm25(both.select("doc", F.col(c).alias("tokens")), q).withColumn("score", F.round("score", 9)) for c in "ab"]
+    assert key(Q.hybrid_top(both, q, 6)) == key(Q.top_k(Q.fused(*sides), 6))
+
+
+def test_cosine_top(spark):
+    v = [(i, [float(i % 5) - 2, float(i % 3), 1.0], "ab"[i % 2]) for i in range(60)]
+    d = spark.createDataFrame(v, "doc long, v array<double>, gate string").withColumn("v", Q.normalized("v"))
+    q = d.where("doc % 20 = 0").select(F.col("doc").alias("query"), "v")
+    key = lambda df: {(r.query, r.doc, r["rank"], r.score) for r in df.collect()}
+    scores = Q.cosine_scores(q, d.select("doc", "v")).where("query <> doc")
+    assert key(Q.cosine_top(q, d, 4, True)) == key(Q.top_k(scores, 4))
+    gates = spark.createDataFrame([(0, "a"), (20, "b"), (20, "a")], "query long, gate string")
+    kept = scores.join(d.select("doc", "gate"), "doc").join(gates, ["query", "gate"])
+    assert key(Q.cosine_top(q, d, 4, True, gates)) == key(Q.top_k(kept, 4))
+    assert Q.cosine_top(q.limit(0), d, 3).count() == Q.cosine_top(q, d.limit(0), 3).count() == 0
+
+
+def test_log_space(spark):
+    got = spark.range(1).select(T.log_space(-2, 1, 4).alias("a"), T.log_space(3, 9, 1).alias("b")).first()
+    assert [round(x, 9) for x in got.a] == [0.01, 0.1, 1.0, 10.0] and got.b == [1000.0]

@@ -48,3 +48,41 @@ def test_sinks(spark, tmp_path):
     S.write_csv(df, str(tmp_path / "c"))
     assert S.adjacency_rows(df, "src", "dst", ["2", "3"]).first()[1:] == (1, 1)
     assert S.trivial_graph_lines(spark.createDataFrame([(1, "a")], "id int, label string"), df).count() == 3
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, "x|y"), ("a", 2, None), ("b", 3, "<&>")], "k string, n int, t string")
+    for rows in (df, df.limit(1)):
+        S.write_atomic_json(rows, str(tmp_path / "j"))
+        assert spark.read.json(str(tmp_path / "j")).count() == rows.count()
+    assert [p.name for p in tmp_path.iterdir()] == ["j"]
+    S.write_json_by(df, "k", str(tmp_path / "by"))
+    got = {r["k"]: [x.n for x in r["rows"]] for r in spark.read.json(str(tmp_path / "by")).collect()}
+    assert got == {"a": [1, 2], "b": [3]} and (tmp_path / "by" / "_key=a").is_dir()
+    text = S.markdown_table(df.orderBy("n"), "Report")
+    assert text.startswith("## Report\n\n| k | n | t |\n| --- | --- | --- |\n| a | 1 | x\\|y |\n| a | 2 |  |")
+    with pytest.raises(ValueError):
+        S.markdown_table(df, "Report", 2)
+
+
+def test_workbook(spark, tmp_path):
+    import xml.etree.ElementTree as ET
+    import zipfile
+
+    S.write_workbook({"one & two": spark.createDataFrame([("a", 1.5), ("<b>", None)], "k string, n double"), "none": spark.createDataFrame([], "k string")}, str(tmp_path / "w.xlsx"))
+    with zipfile.ZipFile(tmp_path / "w.xlsx") as z:
+        parts = {n: ET.fromstring(z.read(n)) for n in z.namelist()}
+    assert [e.get("name") for e in parts["xl/workbook.xml"].iter() if e.tag.endswith("}sheet")] == ["one & two", "none"]
+    assert ["".join(r.itertext()) for r in parts["xl/worksheets/sheet1.xml"].iter() if r.tag.endswith("}row")] == ["kn", "a1.5", "<b>"]
+
+
+def test_memo(spark, tmp_path):
+    path, seen = str(tmp_path / "memo"), []
+
+    def compute(df):
+        seen.append(df.count())
+        return df.selectExpr("memo_key", "upper(q) as answer")
+
+    for asked, new in ((["a", "b", "a"], 2), (["b", "c"], 1), (["c"], 0)):
+        got = S.memoized(spark.createDataFrame([(q,) for q in asked], "q string"), "q", compute, path)
+        assert sorted(r.answer for r in got.collect()) == sorted({q.upper() for q in asked}) and seen[-1] == new
