@@ -20,6 +20,7 @@ from codestrata.session import cut
 
 STEPS = 4  # length classes within one factor of 1 / threshold
 POSTINGS_A_SALT = 2000
+HOT = 10_000
 _SLACK = 1e-9
 
 
@@ -38,6 +39,17 @@ def _need(x: Column, y: Column, t: float) -> Column:
     return F.ceil(t / (1 + t) * (x + y) - _SLACK)
 
 
+def with_rarity(tokens: DataFrame) -> DataFrame:
+    """Rows of (token, ...) with ``df``, how many hold the token. Tokens with more than one in ``HOT`` of all rows, of which there are fewer than
+    ``HOT``, are joined by broadcast, so that the shuffle of the others has no hot key."""
+    rarity = cut(tokens.groupBy("token").agg(F.count("*").alias("df")), "rarity")
+    total = rarity.agg(F.sum("df")).first()[0] or 0
+    hot = rarity.where(F.col("df") > total / HOT)
+    marked = tokens.join(F.broadcast(hot.withColumnRenamed("df", "hot")), "token", "left")
+    columns = [*tokens.columns, "df"]
+    return marked.where("hot is not null").withColumn("df", F.col("hot")).select(columns).unionByName(marked.where("hot is null").join(rarity, "token").select(columns))
+
+
 def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """(class_a, class_b, overlap, n_a, n_b): all pairs of different classes with a Jaccard similarity of at least
     ``threshold``; class_a is the shorter set, or of equal ones the one with the smaller class_id."""
@@ -45,8 +57,7 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     grade = lambda n: F.floor(F.log(n.cast("double")) / base + _SLACK)
     lowest = lambda c: F.greatest(F.lit(1), F.ceil(F.exp(c * base) - 1e-6))
     tokens = classes.select("class_id", "n", F.explode("tokens").alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = tokens.join(rarity, "token").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
+    ordered = with_rarity(tokens).groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("ordered"))
     prefix = F.slice("ordered", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - _SLACK) + 1).cast("int"))
     posted = ordered.select("class_id", "n", grade(F.col("n")).alias("g"), F.posexplode(prefix).alias("p", "x"))
     posted = posted.select("class_id", "n", "g", (F.col("p") + 1).alias("p"), "x.token", "x.df").where("df > 1")
@@ -103,7 +114,7 @@ def set_links(sets: DataFrame, threshold: float = 0.6, least_values: int = 1) ->
     """(id, class_id, links): one row per record, with its class of equal sets and its number of partners."""
     classes, members = classes_of(sets.select("id", F.lit(0).alias("side"), "tokens"), max(1, least_values))
     sizes = members.groupBy("class_id").agg(F.count("*").alias("copies"))
-    pairs = similar_classes(classes, threshold).select("class_a", "class_b")
+    pairs = cut(similar_classes(classes, threshold).select("class_a", "class_b"), "pairs")
     both = pairs.unionByName(pairs.select(F.col("class_b").alias("class_a"), F.col("class_a").alias("class_b")))
     others = both.join(sizes.select(F.col("class_id").alias("class_b"), "copies"), "class_b").groupBy(F.col("class_a").alias("class_id")).agg(F.sum("copies").alias("others"))
     links = sizes.join(others, "class_id", "left").select("class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
