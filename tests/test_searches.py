@@ -41,7 +41,7 @@ def con(folder):
     return c
 
 
-@pytest.mark.parametrize("name", ["bm25_code_topk"])
+@pytest.mark.parametrize("name", ["bm25_code_topk", "bm25_signature_topk"])
 def test_many_queries(spark, con, folder, name):
     assert oracle.compare(spark, con, QUERIES[name], SQL[name], folder) == ""
     assert "MapInArrow" in QUERIES[name](spark, folder)._jdf.queryExecution().toString()
@@ -78,3 +78,18 @@ def test_blocks_brute(monkeypatch, dense, zero):
                 found.append((d, sum(v * tokens.count(t) * 2.5 / (tokens.count(t) + 1.5 * (0.25 + 0.75 * len(tokens) / 6.0)) for t, v in own.items() if t in tokens)))
         want |= {(q, d, round(s, 9)) for d, s in sorted(found, key=lambda x: (-round(x[1], 6), x[0]))[:5]}
     assert got == want
+
+
+def test_block_memory():
+    """Few words, many queries: what a batch of documents takes does not grow with their number (it took 800 MB and more a copy)."""
+    rng = random.Random(2)
+    w = weights(rng, 10_000, 40, 3)
+    read, best = w.reader(pa.array([[f"t{rng.randrange(40)}"] for _ in range(10_000)], pa.list_(pa.string()))), S.Best(len(w.ids), 3, w.positive)
+    tracemalloc.start()
+    for a, b in S.blocks(10_000, len(w.ids)):
+        best.add(*read(a, b), pa.array(range(a, b), pa.int64()))
+        if a > 600:
+            break
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6
