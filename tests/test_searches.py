@@ -41,7 +41,7 @@ def con(folder):
     return c
 
 
-@pytest.mark.parametrize("name", ["bm25_code_topk", "bm25_signature_topk", "similar_methods_unique", "bm25_documents_topk", "gated_bm25", "multi_query_union", "hybrid_minmax", "bm25_grid_k"])
+@pytest.mark.parametrize("name", ["bm25_code_topk", "bm25_signature_topk", "similar_methods_unique", "bm25_documents_topk", "gated_bm25", "multi_query_union", "hybrid_minmax", "bm25_grid_k", "budget_matched_topk"])
 def test_many_queries(spark, con, folder, name):
     assert oracle.compare(spark, con, QUERIES[name], SQL[name], folder) == ""
     assert "MapInArrow" in QUERIES[name](spark, folder)._jdf.queryExecution().toString()
