@@ -7,10 +7,13 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codestrata.operators.components import connected_components
+from codestrata.operators.numbering import number_in_order
+from codestrata.operators.walks import walks
 from codestrata.session import cut, shuffle_partitions
 
 
@@ -162,32 +165,81 @@ def two_step_patterns(edges: DataFrame) -> DataFrame:
     return left.where("n > 0").select(F.concat_ws(">", "first", "second").alias("pattern"), "n")
 
 
-def signed_steps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(u, v, token): every edge walked both ways, with the categories of its ends, its direction and its kinds."""
-    e = edges.where("src <> dst").select("src", "dst", "kind").distinct()
-    both = e.select(F.col("src").alias("u"), F.col("dst").alias("v"), "kind", F.lit(1).alias("out"), F.lit(0).alias("back"))
-    both = both.unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v"), "kind", F.lit(0).alias("out"), F.lit(1).alias("back")))
-    s = both.groupBy("u", "v").agg(F.max("out").alias("out"), F.max("back").alias("back"), F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"))
-    for end in ("u", "v"):
-        s = s.join(nodes.select(F.col("node").alias(end), F.col("category").alias(f"{end}_category")), end, "left")
-    way = lambda two, out, back: F.when((F.col("out") == 1) & (F.col("back") == 1), two).when(F.col("out") == 1, out).otherwise(back)
+def signed_pairs(edges: DataFrame, places: DataFrame) -> DataFrame:
+    """(lo, hi, there, back): two nodes with edges between them, by their numbers in ``places`` (node, id, category), and the tokens of the
+    steps from lo to hi and from hi to lo: the categories of both ends, the direction and the kinds."""
+    ends = lambda end: places.select(F.col("node").alias(end), F.col("id").alias(f"{end}_id"), F.col("category").alias(f"{end}_category"))
+    e = edges.join(ends("src"), "src").join(ends("dst"), "dst").select(F.least("src_id", "dst_id").alias("lo"), F.greatest("src_id", "dst_id").alias("hi"), "src_id", "src_category", "dst_category", "kind")
+    up = F.col("src_id") == F.col("lo")
+    own = lambda first, a, b: F.when(up, F.col(a)).otherwise(F.col(b)).alias(first)
+    s = e.groupBy("lo", "hi", own("lo_category", "src_category", "dst_category"), own("hi_category", "dst_category", "src_category"))
+    s = s.agg(F.max(up).alias("out"), F.max(~up).alias("in"), F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"))
     name = lambda end: F.coalesce(f"{end}_category", F.lit("Unknown"))
     kinds = F.when(F.col("kinds") == "", "Unknown").otherwise(F.col("kinds"))
-    return s.select("u", "v", F.concat(name("u"), way(" <->(", " -(", " <-("), kinds, way(")<-> ", ")-> ", ")- "), name("v")).alias("token"))
+
+    def token(u: str, v: str, out: str, into: str) -> Column:
+        way = lambda two, one, other: F.when(F.col(out) & F.col(into), two).when(F.col(out), one).otherwise(other)
+        return F.concat(name(u), way(" <->(", " -(", " <-("), kinds, way(")<-> ", ")-> ", ")- "), name(v))
+
+    return s.select("lo", "hi", token("lo", "hi", "out", "in").alias("there"), token("hi", "lo", "in", "out").alias("back"))
+
+
+SEARCHED = 2_000_000  # most connected pairs of a component that one task holds
+WORK = 250_000_000  # searches x connected pairs of a task, about
 
 
 def path_patterns(edges: DataFrame, nodes: DataFrame, sources: DataFrame, targets: DataFrame, group: str) -> DataFrame:
     """(group, target, length, pattern): the shortest undirected path to each of ``targets`` (group, node) from the
     nearest of its group's ``sources`` (group, node); without a row where none leads there. Of equal paths the one with
     the least parents by name, from the target back. Targets no source shares a component with are not searched
-    for, and a group's search of a component ends with its last target there."""
-    steps = cut(signed_steps(edges, nodes), "signed")
-    parts = cut(connected_components(edges, "src", "dst"), "parts")
-    srcs = cut(sources.select(group, "node").distinct().join(parts, "node"), "sources")
-    want = targets.select(group, "node").distinct().join(srcs, [group, "node"], "left_anti").join(parts, "node")
-    want = cut(want.join(srcs, [group, "component"], "left_semi").select(group, "component", "node"), "targets")
-    left, levels = want, []
-    front = srcs.join(left, [group, "component"], "left_semi").select(group, "component", "node")
+    for, and a group's search ends with its last target.
+
+    Nodes are numbered in their order. Components are hashed into batches; a batch is one graph that a task holds, in which 64 groups are
+    searched at a time, as the bits of a word of each node. A component with many groups goes to several tasks, each with some of the
+    groups; one that is too large for a task is searched level by level, with joins."""
+    e = cut(edges.select("src", "dst", "kind").where("src <> dst").distinct(), "between")
+    places = number_in_order(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), ["node"], "id")
+    places = cut(places.join(nodes.select("node", "category"), "node", "left"), "places")
+    pairs = cut(signed_pairs(e, places), "pairs")
+    places = cut(places.select("node", "id").join(connected_components(pairs, "lo", "hi").select(F.col("node").alias("id"), "component"), "id"), "components")
+    srcs = cut(sources.select(group, "node").distinct().join(places, "node").select(group, "component", "id"), "sources")
+    want = targets.select(group, "node").distinct().join(places, "node").select(group, "component", "id").join(srcs, [group, "id"], "left_anti")
+    want = cut(want.join(srcs, [group, "component"], "left_semi"), "targets")
+    srcs = srcs.join(want, [group, "component"], "left_semi")
+    pairs = pairs.join(places.select(F.col("id").alias("lo"), "component"), "lo")
+
+    most = 2 * edges.sparkSession.sparkContext.defaultParallelism
+    held = pairs.groupBy("component").agg(F.count("*").alias("pairs")).join(want.groupBy("component").agg(F.count_distinct(group).alias("groups")), "component")
+    held = cut(held.withColumn("tasks", F.least(F.lit(most), F.ceil(F.col("pairs") * F.col("groups") / F.lit(WORK))).cast("int")), "held")
+    few, many = held.where(F.col("pairs") <= SEARCHED).select("component", "tasks"), held.where(F.col("pairs") > SEARCHED).select("component")
+    found = _held_paths(pairs.join(few, "component"), srcs.join(few, "component"), want.join(few, "component"), group, most)
+    if many.limit(1).count():
+        found = found.unionByName(_level_paths(*(x.join(many, "component", "left_semi") for x in (pairs, srcs, want)), group))
+    return found.join(places.select("id", F.col("node").alias("target")), "id").select(group, "target", "length", "pattern")
+
+
+def _held_paths(pairs: DataFrame, srcs: DataFrame, want: DataFrame, group: str, most: int) -> DataFrame:
+    """(group, id, length, pattern) for components that a task holds, each to be searched by a number of ``tasks``."""
+    n = shuffle_partitions(pairs.sparkSession)
+    alone = lambda slot: F.when(F.col("tasks") > 1, -1 - F.col("component") * most - slot).otherwise(F.pmod(F.xxhash64("component"), F.lit(8 * n)))
+    by_slot = pairs.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+    graphs = by_slot.select(alone(F.col("slot")).alias("_batch"), "lo", "hi", "there", "back").repartition(n, "_batch")
+    both = srcs.withColumn("wanted", F.lit(False)).unionByName(want.withColumn("wanted", F.lit(True)))
+    asked = both.select(alone(F.pmod(F.xxhash64(group), F.col("tasks"))).alias("_batch"), F.col(group).alias("of"), "id", "wanted").repartition(n, "_batch")
+
+    def run(asked: pa.Table, graph: pa.Table) -> pa.Table:
+        of, place, length, pattern = walks(*(graph[c] for c in ("lo", "hi", "there", "back")), *(asked[c] for c in ("of", "id", "wanted")))
+        return pa.table({group: of, "id": pa.array(place, pa.int64()), "length": pa.array(length, pa.int32()), "pattern": pa.array(pattern, pa.string())})
+
+    return asked.groupBy("_batch").cogroup(graphs.groupBy("_batch")).applyInArrow(run, f"{group} {dict(want.dtypes)[group]}, id long, length int, pattern string")
+
+
+def _level_paths(pairs: DataFrame, srcs: DataFrame, want: DataFrame, group: str) -> DataFrame:
+    """The same for components of any size: the frontiers of all groups are joined with the steps, level by level."""
+    steps = pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"), F.col("there").alias("token"))
+    steps = cut(steps.unionByName(pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v"), F.col("back").alias("token"))), "signed")
+    want, srcs = (x.withColumnRenamed("id", "node") for x in (want, srcs))
+    left, levels, front = want, [], srcs
     before = front.limit(0)
     while left.limit(1).count():
         new = front.withColumnRenamed("node", "u").join(steps, "u").groupBy(group, "component", F.col("v").alias("node")).agg(F.min(F.struct("u", "token")).alias("by"))
@@ -195,15 +247,15 @@ def path_patterns(edges: DataFrame, nodes: DataFrame, sources: DataFrame, target
         levels.append(new)
         left = cut(left.join(new, [group, "node"], "left_anti"), "left")
         before, front = front, cut(new.select(group, "component", "node").join(left, [group, "component"], "left_semi"), "front")
-    start = want.select(group, F.col("node").alias("target"), "node", F.lit(0).alias("length"), F.array().cast("array<string>").alias("tokens"))
+    start = want.select(group, F.col("node").alias("id"), "node", F.lit(0).alias("length"), F.array().cast("array<string>").alias("tokens"))
     walked = start.limit(0)
     for i in range(len(levels), 0, -1):
         walked = walked.unionByName(start.join(levels[i - 1], [group, "node"], "left_semi").withColumn("length", F.lit(i)).select(*start.columns))
         back = levels[i - 1].select(group, "node", "by")
-        walked = walked.join(back, [group, "node"]).select(group, "target", F.col("by.u").alias("node"), "length", F.concat(F.array("by.token"), "tokens").alias("tokens"))
+        walked = walked.join(back, [group, "node"]).select(group, "id", F.col("by.u").alias("node"), "length", F.concat(F.array("by.token"), "tokens").alias("tokens"))
         if i % 4 == 0:
             walked = cut(walked, "walked")
-    return walked.select(group, "target", "length", F.array_join("tokens", " / ").alias("pattern"))
+    return walked.select(group, "id", "length", F.array_join("tokens", " / ").alias("pattern"))
 
 
 def difference(base: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

@@ -175,7 +175,9 @@ def missing_path_patterns(s, d):
     counts of all, matched, missing outside the graph, unreachable and reachable ones, and of reachable ones
     by length and by pattern. Every mention counts; tasks without a run count in "ground truth" only."""
     deps = B.dependencies(s, d).groupBy(F.col("example_id").alias("task_id"), F.col("dep").alias("node")).agg(F.count("*").alias("n"))
-    nodes, seeds = cut(B.code_nodes(s, d), "nodes"), cut(_seeds(s, d).select("task_id", "node"), "seeds")
+    nodes = cut(B.code_nodes(s, d), "nodes")
+    located = table(s, d, "agent_result", "task_id", "final_locations").select("task_id", F.explode("final_locations.entities").alias("e")).select("task_id", F.col("e.symbol").alias("node")).distinct()
+    seeds = cut(located.join(nodes, "node", "left_semi"), "seeds")
     ran = table(s, d, "agent_result", "task_id").distinct().withColumn("ran", F.lit(1))
     marks = deps.join(ran, "task_id", "left").join(seeds.withColumn("seed", F.lit(1)), ["task_id", "node"], "left").join(nodes.select("node", F.lit(1).alias("known")), "node", "left")
     marks = cut(marks, "marks")
